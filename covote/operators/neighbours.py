@@ -6,8 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from covote.functions.columns import cosine
-from covote.operators.similarity import binary_pairs, both_directions, degrees, meetings, side
-from covote.operators.skew import DEFAULT_SKEW, Skew, keep_keys, lookup_join, skew_join
+from covote.operators.similarity import CELL, binary_pairs, both_directions, in_cells, meet
+from covote.operators.skew import (
+    DEFAULT_SKEW,
+    Skew,
+    heavy_keys,
+    keep_keys,
+    key_counts,
+    salted_join,
+    tag_heavy,
+)
 
 
 def check_size(name: str, value: int) -> None:
@@ -15,19 +23,21 @@ def check_size(name: str, value: int) -> None:
         raise ValueError(f"{name} must be a whole number of at least 1, got {value!r}")
 
 
-def neighbours(
-    sim: DataFrame, n: int, *, ties: bool = False, targets=None, skew: Skew = DEFAULT_SKEW
-) -> DataFrame:
+def neighbours(sim: DataFrame, n: int, *, ties: bool = False, targets=None) -> DataFrame:
     """The ``n`` most similar entities of each ``src``: ``src, dst, sim, rank``.
 
     Equal similarities are taken in the order of their ids. With ``ties`` all that are
     as similar as the n-th are kept, and ``rank`` is shared among equals.
     """
     check_size("n", n)
-    by_sim = Window.partitionBy("src").orderBy(F.col("sim").desc())
-    rank = F.rank().over(by_sim) if ties else F.row_number().over(by_sim.orderBy(F.col("sim").desc(), "dst"))
+    group = Window.partitionBy("src")
+    most_similar = F.col("sim").desc()
+    if ties:
+        rank = F.rank().over(group.orderBy(most_similar))
+    else:
+        rank = F.row_number().over(group.orderBy(most_similar, "dst"))
     return (
-        keep_keys(sim, "src", targets, skew)
+        keep_keys(sim, "src", targets)
         .withColumn("rank", rank)
         .where(F.col("rank") <= n)
         .select("src", "dst", "sim", "rank")
@@ -39,81 +49,68 @@ def top_neighbours(
 ) -> DataFrame:
     """``neighbours(similarity(df, entity, basis), n)`` without building the whole matrix.
 
-    Pairing all members of a basis key costs the square of its popularity. The few most
-    popular keys are therefore left out of the self-join. Entities that meet only on such
-    hot keys fall into classes of equal similarity (same hot keys, same degree), and of
-    each class only the best few ids can reach a list of n: enough others with the same or
-    a higher similarity stand before the rest. Those candidates join the pairs that meet
-    on an ordinary key, and both get their full overlap, so the lists are exact.
+    Two facts keep it small, and both drop only what cannot be in a list of n, because at
+    least n others have the same or a higher similarity and stand before it.
+
+    *Hot keys.* Pairing all members of a basis key costs the square of its popularity, so
+    the few most popular keys stay out of the self-join. Entities that meet on such keys
+    alone form classes of equal similarity (same hot keys, same degree), and of a class only
+    the first ids can be in a list. They are added as candidates, and every pair gets its
+    full overlap, hot and ordinary.
+
+    *Single meetings.* Of those an entity meets on one key only, just the n + 1 members of
+    this key with the lowest degree can be in its list; the rest is dropped before ranking.
     """
     check_size("n", n)
     pairs = binary_pairs(df, entity, basis)
-    basis_n = degrees(pairs, "basis")
-    hot = _hot_keys(basis_n, skew)
-    tagged = pairs.join(F.broadcast(hot), "basis", "left")  # at most skew.hot_keys rows
+    heavy = heavy_keys(key_counts(pairs, "basis"), "basis", skew)
+    tagged = tag_heavy(pairs, "basis", heavy)
+    is_hot = F.coalesce(F.col("place") < skew.hot_keys, F.lit(False))
     profile = tagged.groupBy("entity").agg(
         F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum("bit"), F.lit(0)).cast("long").alias("sig"),
+        F.sum(F.when(is_hot, F.expr("shiftleft(1L, place)")).otherwise(0)).alias("sig"),
     )
-    counts = profile.select("entity", F.col("n").alias("left_n"))
-    ordinary = tagged.where(F.col("bit").isNull()).select("entity", "basis")
-    profiled = lookup_join(ordinary, profile, "entity", counts, skew)
-
-    cols = ["n", "sig"]
-    left = keep_keys(profiled, "entity", targets, skew)
-    met = meetings(side(left, "lo", cols), side(profiled, "hi", cols), basis_n, skew)
-    met = met.where(F.col("lo") < F.col("hi") if targets is None else F.col("lo") != F.col("hi"))
-    met = met.withColumn("seen", F.lit(1))
-
-    candidates = _hot_candidates(profile, n, targets, skew)
-    if targets is None:
-        swap = F.col("src") > F.col("dst")
-        candidates = candidates.select(
-            *[
-                F.when(swap, F.col(f"{c}{b}")).otherwise(F.col(f"{c}{a}")).alias(f"{c}{role}")
-                for a, b, role in (("src", "dst", "lo"), ("dst", "src", "hi"))
-                for c in ("", "n_", "sig_")
-            ]
-        )
-    else:
-        candidates = candidates.select(
-            *[F.col(f"{c}{a}").alias(f"{c}{role}") for a, role in (("src", "lo"), ("dst", "hi")) for c in ("", "n_", "sig_")]
-        )
-    met = met.drop("basis").unionByName(candidates.withColumn("seen", F.lit(0)))
-
-    sims = (
-        met.groupBy(
-            "lo",
-            "hi",
-            (F.col("n_lo") * F.col("n_hi")).alias("nn"),
-            F.bit_count(F.col("sig_lo").bitwiseAND(F.col("sig_hi"))).cast("long").alias("hot"),
-        )
-        .agg(F.sum("seen").alias("cold"))
-        .select("lo", "hi", cosine(F.col("cold") + F.col("hot"), F.col("nn")).alias("sim"))
+    profiled = tagged.where(~is_hot).join(profile, "entity")
+
+    lowest = Window.partitionBy(*CELL)
+    lo = in_cells(keep_keys(profiled, "entity", targets), "lo")
+    lo = lo.withColumn("near_lo", F.row_number().over(lowest.orderBy("n_lo", "lo")) <= n + 1)
+    hi = in_cells(profiled, "hi")
+    hi = hi.withColumn("near_hi", F.row_number().over(lowest.orderBy("n_hi", "hi")) <= n + 1)
+    shared_hot = F.bit_count(F.col("sig_lo").bitwiseAND(F.col("sig_hi"))).cast("long")
+    met = meet(lo, hi, targets).select(
+        "lo",
+        "hi",
+        (F.col("n_lo") * F.col("n_hi")).alias("nn"),
+        shared_hot.alias("hot"),
+        # whether lo may be in the list of hi, and hi in that of lo, if this is all they share
+        (F.col("near_lo").cast("int") + 2 * F.col("near_hi").cast("int")).alias("near"),
+        F.lit(1).alias("seen"),
     )
-    if targets is None:
-        sims = both_directions(sims)
-    else:
-        sims = sims.withColumnsRenamed({"lo": "src", "hi": "dst"})
-    return neighbours(sims, n)
-
+    met = met.unionByName(_hot_candidates(profile, n, targets, skew))
 
-def _hot_keys(basis_n: DataFrame, skew: Skew) -> DataFrame:
-    """The most popular keys above ``skew.block``, each with its own bit; at most ``skew.hot_keys`` rows."""
-    top = (
-        basis_n.where(F.col("n") > skew.block)
-        .orderBy(F.col("n").desc(), "basis")
-        .limit(skew.hot_keys)
-        .agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("order"), "basis"))).alias("keys"))
+    found = (
+        met.groupBy("lo", "hi", "nn")
+        .agg(F.sum("seen").alias("cold"), F.max("hot").alias("hot"), F.max("near").alias("near"))
+        .withColumn("common", F.col("cold") + F.col("hot"))
     )
-    return top.select(F.posexplode("keys").alias("pos", "key")).select(
-        F.col("key.basis").alias("basis"),
-        F.expr("shiftleft(1L, pos)").alias("bit"),
+    found = found.select(
+        "lo",
+        "hi",
+        cosine(F.col("common"), F.col("nn")).alias("sim"),
+        F.when(F.col("common") > 1, F.lit(3)).otherwise(F.col("near")).alias("near"),
     )
+    if targets is None:
+        found = both_directions(found)
+        near = F.when(F.col("src") < F.col("dst"), F.col("near") >= 2).otherwise(F.col("near") % 2 == 1)
+    else:
+        found = found.withColumnsRenamed({"lo": "src", "hi": "dst"})
+        near = F.col("near") >= 2
+    return neighbours(found.where(near), n)
 
 
 def _hot_candidates(profile: DataFrame, n: int, targets, skew: Skew) -> DataFrame:
-    """For each entity with hot keys the n + 1 entities it may at best meet on those keys alone.
+    """The n + 1 entities that each entity may at best meet on its hot keys alone.
 
     One more than n, because an entity may stand in its own list. The tables by signature
     have at most 2 ** hot_keys groups, whatever the number of entities.
@@ -127,27 +124,36 @@ def _hot_candidates(profile: DataFrame, n: int, targets, skew: Skew) -> DataFram
     )
 
     def by_bit(df, sig):
-        bits = F.expr(f"filter(sequence(0, {max(skew.hot_keys - 1, 0)}), b -> ({sig} & shiftleft(1L, b)) != 0)")
-        return df.withColumn("bit", F.explode(bits))
+        bits = f"filter(sequence(0, {max(skew.hot_keys - 1, 0)}), b -> ({sig} & shiftleft(1L, b)) != 0)"
+        return df.withColumn("bit", F.explode(F.expr(bits)))
 
     shared = (
         by_bit(on_hot.select(F.col("sig").alias("sig_src")).distinct(), "sig_src")
         .join(by_bit(short, "sig_dst"), "bit")
-        .groupBy("sig_src", "dst", "n_dst", "sig_dst")
+        .groupBy("sig_src", "dst", "n_dst")
         .agg(F.count(F.lit(1)).alias("hot"))
     )
     strength = (F.col("hot") * F.col("hot")).cast("double") / F.col("n_dst").cast("double")
+    strongest = Window.partitionBy("sig_src").orderBy(strength.desc(), "dst")
     best = (
-        shared.withColumn("strength", strength)
-        .withColumn("place", F.row_number().over(Window.partitionBy("sig_src").orderBy(F.col("strength").desc(), "dst")))
+        shared.withColumn("place", F.row_number().over(strongest))
         .where(F.col("place") <= n + 1)
-        .select("sig_src", "dst", "n_dst", "sig_dst")
+        .select("sig_src", "dst", "n_dst", "hot")
     )
-    src = keep_keys(on_hot, "entity", targets, skew).select(
+    src = keep_keys(on_hot, "entity", targets).select(
         F.col("entity").alias("src"), F.col("n").alias("n_src"), F.col("sig").alias("sig_src")
     )
-    if (n + 1) << skew.hot_keys <= 100_000:  # rows of ``best`` at most
+    if (n + 1) << skew.hot_keys <= 100_000:  # the most rows ``best`` can have
         found = src.join(F.broadcast(best), "sig_src")
     else:
-        found = skew_join(src, best, "sig_src", skew)
-    return found.where(F.col("src") != F.col("dst"))
+        heavy = heavy_keys(key_counts(src, "sig_src"), "sig_src", skew)
+        found = salted_join(src, best, "sig_src", heavy)
+    swap = (F.col("src") > F.col("dst")) if targets is None else F.lit(False)
+    return found.where(F.col("src") != F.col("dst")).select(
+        F.when(swap, F.col("dst")).otherwise(F.col("src")).alias("lo"),
+        F.when(swap, F.col("src")).otherwise(F.col("dst")).alias("hi"),
+        (F.col("n_src") * F.col("n_dst")).alias("nn"),
+        "hot",
+        F.lit(3).alias("near"),
+        F.lit(0).alias("seen"),
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covote.functions.columns import cosine
-from covote.operators.skew import DEFAULT_SKEW, Skew, heavy_keys, keep_keys, key_counts, lookup_join, salted_join
+from covote.operators.skew import DEFAULT_SKEW, Skew, all_slices, heavy_keys, keep_keys, key_counts, own_slice, tag_heavy
 
 
 def interaction_counts(df: DataFrame, first: str = "user", second: str = "item") -> DataFrame:
@@ -34,24 +34,35 @@ def binary_pairs(df: DataFrame, entity: str, basis: str) -> DataFrame:
     )
 
 
-def degrees(pairs: DataFrame, key: str) -> DataFrame:
-    """How many distinct pairs each key has."""
-    return key_counts(pairs, key, "n")
-
-
 def id_bounds(df: DataFrame, columns: list[str]) -> DataFrame:
     """Largest value of each column, one row."""
     return df.agg(*[F.max(F.col(c).cast("long")).alias(f"max_{c}") for c in columns])
 
 
-def meetings(left: DataFrame, right: DataFrame, basis_n: DataFrame, skew: Skew) -> DataFrame:
-    """Join two sets of profiled pairs on the basis, popular keys cut into cells.
+CELL = ["basis", "_lo_cell", "_hi_cell"]
+
 
-    ``left`` has ``basis, src, n_src, sig_src``, ``right`` the same with ``dst``; the
-    caller filters the direction it wants, which Catalyst moves into the join.
+def in_cells(tagged: DataFrame, role: str) -> DataFrame:
+    """One side of the self-join on ``basis``, with every column but the basis named for its role.
+
+    The members of a popular basis key are cut into slices, and any two slices meet in a
+    cell of their own: no task gets more than two slices of one key, however popular.
     """
-    counts = basis_n.select("basis", F.col("n").alias("left_n"), F.col("n").alias("right_n"))
-    return salted_join(left, right, "basis", heavy_keys(counts, "basis", skew))
+    other = {"lo": "hi", "hi": "lo"}[role]
+    rest = [c for c in tagged.columns if c not in ("basis", "entity", "place", "splits")]
+    return tagged.select(
+        "basis",
+        F.col("entity").alias(role),
+        *[F.col(c).alias(f"{c}_{role}") for c in rest],
+        own_slice("entity").alias(f"_{role}_cell"),
+        all_slices().alias(f"_{other}_cell"),
+    )
+
+
+def meet(lo: DataFrame, hi: DataFrame, targets) -> DataFrame:
+    """Join both sides: each pair once (``lo < hi``), or every partner of the wanted ``lo``."""
+    wanted = F.col("lo") < F.col("hi") if targets is None else F.col("lo") != F.col("hi")
+    return lo.join(hi, CELL).where(wanted)
 
 
 def both_directions(df: DataFrame) -> DataFrame:
@@ -68,15 +79,6 @@ def both_directions(df: DataFrame) -> DataFrame:
     )
 
 
-def side(df: DataFrame, role: str, extra: list[str] = ()) -> DataFrame:
-    """Rename an entity's columns for one side of a self-join."""
-    return df.select(
-        "basis",
-        F.col("entity").alias(role),
-        *[F.col(c).alias(f"{c}_{role}") for c in extra],
-    )
-
-
 def cooccurrence(
     df: DataFrame, entity: str, basis: str, *, targets=None, skew: Skew = DEFAULT_SKEW
 ) -> DataFrame:
@@ -86,10 +88,12 @@ def cooccurrence(
     each target it contains, with the target as ``src``.
     """
     pairs = binary_pairs(df, entity, basis)
-    left = keep_keys(pairs, "entity", targets, skew)
-    met = meetings(side(left, "src"), side(pairs, "dst"), degrees(pairs, "basis"), skew)
-    wanted = F.col("src") < F.col("dst") if targets is None else F.col("src") != F.col("dst")
-    return met.where(wanted).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("common"))
+    heavy = heavy_keys(key_counts(pairs, "basis"), "basis", skew)
+    tagged = tag_heavy(pairs, "basis", heavy)
+    met = meet(in_cells(keep_keys(tagged, "entity", targets), "lo"), in_cells(tagged, "hi"), targets)
+    return met.groupBy(F.col("lo").alias("src"), F.col("hi").alias("dst")).agg(
+        F.count(F.lit(1)).alias("common")
+    )
 
 
 def similarity(
@@ -97,16 +101,13 @@ def similarity(
 ) -> DataFrame:
     """The whole similarity matrix ``src, dst, sim``: symmetric, without diagonal and zeros."""
     pairs = binary_pairs(df, entity, basis)
-    n = degrees(pairs, "entity")
-    profiled = lookup_join(pairs, n, "entity", n.select("entity", F.col("n").alias("left_n")), skew)
-    left = keep_keys(profiled, "entity", targets, skew)
-    met = meetings(
-        side(left, "lo", ["n"]), side(profiled, "hi", ["n"]), degrees(pairs, "basis"), skew
+    heavy = heavy_keys(key_counts(pairs, "basis"), "basis", skew)
+    profiled = tag_heavy(pairs, "basis", heavy).join(key_counts(pairs, "entity"), "entity")
+    met = meet(
+        in_cells(keep_keys(profiled, "entity", targets), "lo"), in_cells(profiled, "hi"), targets
     )
-    wanted = F.col("lo") < F.col("hi") if targets is None else F.col("lo") != F.col("hi")
     sims = (
-        met.where(wanted)
-        .groupBy("lo", "hi", (F.col("n_lo") * F.col("n_hi")).alias("nn"))
+        met.groupBy("lo", "hi", (F.col("n_lo") * F.col("n_hi")).alias("nn"))
         .agg(F.count(F.lit(1)).alias("common"))
         .select("lo", "hi", cosine(F.col("common"), F.col("nn")).alias("sim"))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # At most this many keys are split. It bounds the table that is broadcast to tag
@@ -32,81 +32,68 @@ class Skew:
 DEFAULT_SKEW = Skew()
 
 
-def key_counts(df: DataFrame, key: str, name: str) -> DataFrame:
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+def key_counts(df: DataFrame, key: str) -> DataFrame:
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
 
 
 def heavy_keys(counts: DataFrame, key: str, skew: Skew = DEFAULT_SKEW) -> DataFrame:
-    """The heaviest keys of ``(key, left_n, right_n)`` and the grid each is cut into.
+    """The most frequent keys of ``(key, n)``: their place, from 0, and how many slices each needs.
 
-    Columns ``key, left_splits, right_splits``; no more than MAX_SPLIT_KEYS rows.
+    No more than MAX_SPLIT_KEYS rows, so it may be broadcast whatever the input.
     """
-
-    def splits(n):
-        return F.ceil(F.col(n) / F.lit(float(skew.block))).cast("long")
-
-    return (
-        counts.where(F.greatest("left_n", "right_n") > skew.block)
-        .orderBy((F.col("left_n").cast("double") * F.col("right_n")).desc(), key)
+    top = (
+        counts.where(F.col("n") > skew.block)
+        .orderBy(F.col("n").desc(), key)
         .limit(MAX_SPLIT_KEYS)
-        .select(key, splits("left_n").alias("left_splits"), splits("right_n").alias("right_splits"))
+        .agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("order"), key))).alias("top"))
+    )
+    splits = F.ceil(-F.col("top.order") / F.lit(float(skew.block))).cast("long")
+    return top.select(F.posexplode("top").alias("place", "top")).select(
+        F.col(f"top.{key}").alias(key), "place", splits.alias("splits")
     )
 
 
-def _cells(df: DataFrame, key: str, heavy: DataFrame, own: str, other: str) -> DataFrame:
-    """Place every row in one slice of its own side and copy it to all slices of the other.
-
-    The slice is a hash of the row, so a task that is run again places it the same way.
-    """
-    rest = [c for c in df.columns if c != key]
+def tag_heavy(df: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
+    """Add ``place`` (NULL for keys that are not heavy) and ``splits`` (1 for these)."""
     tagged = df.join(F.broadcast(heavy), key, "left")
-    own_n = F.coalesce(F.col(f"{own}_splits"), F.lit(1))
-    other_n = F.coalesce(F.col(f"{other}_splits"), F.lit(1))
-    slice_ = F.pmod(F.xxhash64(*rest), own_n) if rest else F.lit(0).cast("long")
-    return tagged.select(
-        key,
-        *rest,
-        slice_.alias(f"_{own}_cell"),
-        F.explode(F.sequence(F.lit(0).cast("long"), other_n - 1)).alias(f"_{other}_cell"),
-    )
+    return tagged.withColumn("splits", F.coalesce("splits", F.lit(1).cast("long")))
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
-    """Inner join on ``key`` with each heavy key spread over a grid of cells.
+def own_slice(*by: str) -> Column:
+    """The slice of its key a tagged row belongs to.
 
-    Every pair of matching rows meets in exactly one cell, so the result is that of the
-    plain join. Apart from ``key`` the two sides must not share column names.
+    It is a hash of the row, so a task that is run again places its rows the same way.
     """
-    cells = [key, "_left_cell", "_right_cell"]
-    joined = _cells(left, key, heavy, "left", "right").join(
-        _cells(right, key, heavy, "right", "left"), cells, "inner"
-    )
-    return joined.drop("_left_cell", "_right_cell")
+    return F.pmod(F.xxhash64(*by), F.col("splits"))
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, skew: Skew = DEFAULT_SKEW) -> DataFrame:
-    """``salted_join`` with the heavy keys counted on both sides."""
-    counts = key_counts(left, key, "left_n").join(key_counts(right, key, "right_n"), key)
-    return salted_join(left, right, key, heavy_keys(counts, key, skew))
+def all_slices() -> Column:
+    """Repeats a tagged row for every slice of its key."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1))
 
 
-def lookup_join(
-    left: DataFrame, lookup: DataFrame, key: str, counts: DataFrame, skew: Skew = DEFAULT_SKEW
-) -> DataFrame:
-    """Attach columns of ``lookup`` (one row per key) to a ``left`` whose keys may be skewed.
+def salted_join(sliced: DataFrame, copied: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
+    """Inner join on ``key`` in which a heavy key of ``sliced`` is spread over many tasks.
 
-    ``counts`` is ``(key, left_n)``, usually at hand already.
+    Every pair of matching rows meets in one slice, so the result is that of the plain join.
+    A key that is frequent in ``copied`` only is left to the skew join of adaptive execution.
     """
-    counts = counts.select(key, "left_n", F.lit(1).cast("long").alias("right_n"))
-    return salted_join(left, lookup, key, heavy_keys(counts, key, skew))
+    by = [c for c in sliced.columns if c != key]
+    left = tag_heavy(sliced, key, heavy).select(key, *by, own_slice(*by).alias("_cell"))
+    rest = [c for c in copied.columns if c != key]
+    right = tag_heavy(copied, key, heavy).select(key, *rest, all_slices().alias("_cell"))
+    return left.join(right, [key, "_cell"]).drop("_cell")
 
 
-def keep_keys(df: DataFrame, key: str, keys, skew: Skew = DEFAULT_SKEW) -> DataFrame:
-    """Rows whose ``key`` is wanted: all (None), a few literal ids, or a one-column DataFrame."""
+def keep_keys(df: DataFrame, key: str, keys) -> DataFrame:
+    """Rows whose ``key`` is wanted: all (None), a few literal ids, or a one-column DataFrame.
+
+    Literal ids become a filter that reaches the scan; a DataFrame becomes a semi-join,
+    broadcast or split at run time by its measured size.
+    """
     if keys is None:
         return df
     if isinstance(keys, DataFrame):
-        wanted = keys.select(F.col(keys.columns[0]).cast("long").alias(key)).distinct()
-        counts = key_counts(df, key, "left_n")
-        return lookup_join(df, wanted, key, counts, skew).select(*df.columns)
+        wanted = keys.select(F.col(keys.columns[0]).cast("long").alias(key))
+        return df.join(wanted, key, "left_semi")
     return df.where(F.col(key).isin([int(k) for k in keys]))

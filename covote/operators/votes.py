@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from covote.operators.neighbours import check_size
 from covote.operators.similarity import interaction_counts
-from covote.operators.skew import DEFAULT_SKEW, Skew, keep_keys, skew_join
+from covote.operators.skew import DEFAULT_SKEW, Skew, heavy_keys, keep_keys, key_counts, salted_join
 
 
 def user_votes(
@@ -19,8 +19,10 @@ def user_votes(
     the neighbours were found on.
     """
     voters = neighbours.select(F.col("src").alias("target"), F.col("dst").alias("user"))
+    counted = interaction_counts(interactions)
+    heavy = heavy_keys(key_counts(counted, "user"), "user", skew)
     return (
-        skew_join(voters, interaction_counts(interactions), "user", skew)
+        salted_join(counted, voters, "user", heavy)
         .groupBy(F.col("target").alias("user"), "item")
         .agg(F.sum("times").alias("votes"))
     )
@@ -30,10 +32,11 @@ def item_votes(
     neighbours: DataFrame, interactions: DataFrame, *, users=None, skew: Skew = DEFAULT_SKEW
 ) -> DataFrame:
     """The items most like those each user has: ``user, item, votes``, one vote per interaction row."""
-    owned = keep_keys(interaction_counts(interactions), "user", users, skew)
+    owned = keep_keys(interaction_counts(interactions), "user", users)
+    heavy = heavy_keys(key_counts(owned, "item"), "item", skew)
     similar = neighbours.select(F.col("src").alias("item"), F.col("dst").alias("similar"))
     return (
-        skew_join(owned, similar, "item", skew)
+        salted_join(owned, similar, "item", heavy)
         .groupBy("user", F.col("similar").alias("item"))
         .agg(F.sum("times").alias("votes"))
     )

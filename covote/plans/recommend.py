@@ -27,7 +27,7 @@ def user_neighbours(interactions: DataFrame, n: int, *, targets=None, skew: Skew
 def item_neighbours(interactions: DataFrame, n: int, *, targets=None, skew: Skew = DEFAULT_SKEW) -> DataFrame:
     """The ``n`` items most like each item; with ``targets`` only for the items these users have."""
     if targets is not None:
-        targets = keep_keys(interactions.select("user", "item"), "user", targets, skew).select("item").distinct()
+        targets = keep_keys(interactions.select("user", "item"), "user", targets).select("item").distinct()
     return top_neighbours(interactions, "item", "user", n, targets=targets, skew=skew)
 
 
