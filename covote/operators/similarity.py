@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from covote.functions.columns import cosine
@@ -96,21 +98,100 @@ def cooccurrence(
     )
 
 
-def similarity(
-    df: DataFrame, entity: str, basis: str, *, targets=None, skew: Skew = DEFAULT_SKEW
-) -> DataFrame:
-    """The whole similarity matrix ``src, dst, sim``: symmetric, without diagonal and zeros."""
+def weighted_meetings(df: DataFrame, entity: str, basis: str, targets, skew: Skew) -> DataFrame:
+    """One row ``lo, hi, nn`` per pair and shared basis key; ``nn`` is the product of both degrees."""
     pairs = binary_pairs(df, entity, basis)
     heavy = heavy_keys(key_counts(pairs, "basis"), "basis", skew)
     profiled = tag_heavy(pairs, "basis", heavy).join(key_counts(pairs, "entity"), "entity")
     met = meet(
         in_cells(keep_keys(profiled, "entity", targets), "lo"), in_cells(profiled, "hi"), targets
     )
+    return met.select("lo", "hi", (F.col("n_lo") * F.col("n_hi")).alias("nn"))
+
+
+def directed(df: DataFrame, targets) -> DataFrame:
+    """From ``lo, hi`` to ``src, dst``: both ways, or only from the targets."""
+    if targets is None:
+        return both_directions(df)
+    return df.withColumnsRenamed({"lo": "src", "hi": "dst"})
+
+
+def similarity(
+    df: DataFrame, entity: str, basis: str, *, targets=None, skew: Skew = DEFAULT_SKEW
+) -> DataFrame:
+    """The whole similarity matrix ``src, dst, sim``: symmetric, without diagonal and zeros."""
     sims = (
-        met.groupBy("lo", "hi", (F.col("n_lo") * F.col("n_hi")).alias("nn"))
+        weighted_meetings(df, entity, basis, targets, skew)
+        .groupBy("lo", "hi", "nn")
         .agg(F.count(F.lit(1)).alias("common"))
         .select("lo", "hi", cosine(F.col("common"), F.col("nn")).alias("sim"))
     )
-    if targets is None:
-        return both_directions(sims)
-    return sims.withColumnsRenamed({"lo": "src", "hi": "dst"})
+    return directed(sims, targets)
+
+
+def feature_similarity(
+    features: list[DataFrame],
+    entity: str = "user",
+    basis: str = "item",
+    *,
+    targets=None,
+    skew: Skew = DEFAULT_SKEW,
+) -> DataFrame:
+    """The matrices of several data sets side by side: ``src, dst, f0, f1, …``.
+
+    A feature in which a pair shares nothing is NULL. The overlaps of all features are
+    counted in one aggregation.
+    """
+    if not features:
+        raise ValueError("at least one feature is needed")
+    met = [
+        weighted_meetings(df, entity, basis, targets, skew).withColumn("feature", F.lit(i))
+        for i, df in enumerate(features)
+    ]
+    counted = []
+    for i in range(len(features)):
+        here = F.when(F.col("feature") == i, F.col("nn"))
+        counted += [F.count(here).alias(f"common{i}"), F.max(here).alias(f"nn{i}")]
+    sims = (
+        reduce(DataFrame.unionByName, met)
+        .groupBy("lo", "hi")
+        .agg(*counted)
+        .select(
+            "lo",
+            "hi",
+            *[
+                cosine(F.col(f"common{i}"), F.col(f"nn{i}")).alias(f"f{i}")
+                for i in range(len(features))
+            ],
+        )
+    )
+    return directed(sims, targets)
+
+
+def feature_columns(sims: DataFrame) -> list[str]:
+    return [c for c in sims.columns if c[0] == "f" and c[1:].isdigit()]
+
+
+def feature_rows(sims: DataFrame) -> DataFrame:
+    """The long form ``src, dst, feature, sim`` of a feature matrix, without absent features."""
+    names = feature_columns(sims)
+    return sims.select(
+        "src",
+        "dst",
+        F.inline(
+            F.array(*[F.struct(F.lit(int(c[1:])).alias("feature"), F.col(c).alias("sim")) for c in names])
+        ),
+    ).where(F.col("sim").isNotNull())
+
+
+def most_similar(sims: DataFrame, m: int) -> DataFrame:
+    """Keep, per feature, the ``m`` most similar of each ``src`` with ties; drop pairs left with none.
+
+    A pre-selection that makes later steps cheaper and may change their result.
+    """
+    kept = sims
+    names = feature_columns(sims)
+    for c in names:
+        rank = F.rank().over(Window.partitionBy("src").orderBy(F.col(c).desc_nulls_last()))
+        kept = kept.withColumn(c, F.when(rank <= m, F.col(c)))
+    return kept.where(F.coalesce(*names).isNotNull())

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from covote.operators.neighbours import check_size
-from covote.operators.similarity import interaction_counts
+from covote.operators.similarity import binary_pairs, interaction_counts
 from covote.operators.skew import DEFAULT_SKEW, Skew, heavy_keys, keep_keys, key_counts, salted_join
 
 
@@ -20,7 +20,7 @@ def user_votes(
     """
     voters = neighbours.select(F.col("src").alias("target"), F.col("dst").alias("user"))
     counted = interaction_counts(interactions)
-    heavy = heavy_keys(key_counts(counted, "user"), "user", skew)
+    heavy = _heavy(interactions, "user", "item", skew)
     return (
         salted_join(counted, voters, "user", heavy)
         .groupBy(F.col("target").alias("user"), "item")
@@ -33,7 +33,7 @@ def item_votes(
 ) -> DataFrame:
     """The items most like those each user has: ``user, item, votes``, one vote per interaction row."""
     owned = keep_keys(interaction_counts(interactions), "user", users)
-    heavy = heavy_keys(key_counts(owned, "item"), "item", skew)
+    heavy = _heavy(interactions, "item", "user", skew)
     similar = neighbours.select(F.col("src").alias("item"), F.col("dst").alias("similar"))
     return (
         salted_join(owned, similar, "item", heavy)
@@ -42,6 +42,11 @@ def item_votes(
     )
 
 
+def _heavy(interactions: DataFrame, key: str, other: str, skew: Skew) -> DataFrame:
+    counts = key_counts(binary_pairs(interactions, key, other), "entity")
+    return heavy_keys(counts.withColumnRenamed("entity", key), key, skew)
+
+
 def drop_seen(votes: DataFrame, interactions: DataFrame) -> DataFrame:
     """Votes for items the user does not have yet."""
     seen = interaction_counts(interactions).select("user", "item")

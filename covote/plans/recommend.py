@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covote.operators.neighbours import top_neighbours
+from covote.operators.neighbours import check_size, top_neighbours
+from covote.operators.pareto import pareto_neighbours
+from covote.operators.similarity import feature_similarity, most_similar
 from covote.operators.skew import DEFAULT_SKEW, Skew, keep_keys
 from covote.operators.votes import drop_seen, item_votes, top_k, user_votes
 
@@ -105,3 +107,43 @@ def recommend_hybrid(
         recommend_item(interactions, n, k, **options),
         k,
     )
+
+
+def multi_objective_neighbours(
+    features: list[DataFrame],
+    n: int,
+    *,
+    missing: str = "shared",
+    preselect: int | None = None,
+    targets=None,
+    skew: Skew = DEFAULT_SKEW,
+) -> DataFrame:
+    """Pareto neighbours of each user over one similarity per data set: ``src, dst, layer``.
+
+    ``preselect`` keeps only that many most similar users per feature, with ties, before
+    the fronts are formed; it saves work and may change the result.
+    """
+    sims = feature_similarity(features, targets=targets, skew=skew)
+    if preselect is not None:
+        check_size("preselect", preselect)
+        sims = most_similar(sims, preselect)
+    return pareto_neighbours(sims, n, missing=missing, skew=skew)
+
+
+def recommend_multi_objective(
+    features: list[DataFrame],
+    n: int,
+    k: int,
+    *,
+    base: int = 0,
+    missing: str = "shared",
+    preselect: int | None = None,
+    targets=None,
+    exclude_seen: bool = False,
+    skew: Skew = DEFAULT_SKEW,
+) -> DataFrame:
+    """User-based lists with Pareto neighbours; the votes come from ``features[base]``."""
+    found = multi_objective_neighbours(
+        features, n, missing=missing, preselect=preselect, targets=targets, skew=skew
+    )
+    return recommend_from_users(found, features[base], k, exclude_seen=exclude_seen, skew=skew)
