@@ -11,11 +11,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def order_interactions(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
-    """One row per order line, ``user`` = the customer and ``item`` = the part."""
-    lines = table(spark, sf_dir, "lineitem")
-    if where is not None:
-        lines = lines.where(where)
-    orders = table(spark, sf_dir, "orders")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.col("o_custkey").alias("user"), F.col("l_partkey").alias("item")
+    """One row per order line, ``user`` = the customer and ``item`` = the part.
+
+    ``where`` is a condition on columns of orders or lineitem; Catalyst moves it to the scan.
+    """
+    joined = table(spark, sf_dir, "lineitem").join(
+        table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")
     )
+    if where is not None:
+        joined = joined.where(where)
+    return joined.select(F.col("o_custkey").alias("user"), F.col("l_partkey").alias("item"))
