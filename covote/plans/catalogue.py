@@ -99,7 +99,8 @@ def count_containing(spark, sf):
 
 def left_outer_interactions(spark, sf):
     users = table(spark, sf, "customer").select(F.col("c_custkey").alias("user"))
-    return users.join(train(spark, sf), "user", "left")
+    joined = users.join(train(spark, sf), "user", "left")
+    return joined.select("user", F.coalesce(F.col("item").cast("string"), F.lit("none")).alias("item"))
 
 
 def popular_items(spark, sf):

@@ -174,7 +174,7 @@ def statements() -> dict[str, str]:
         "sum_values": "SELECT CAST(sum(l_linenumber) AS BIGINT) AS total FROM lineitem",
         "count_containing": f"SELECT count(*) AS lines FROM part WHERE contains(p_name, '{WORD}')",
         "left_outer_interactions": select(
-            'SELECT c_custkey AS "user", item FROM customer LEFT JOIN train ON train."user" = c_custkey', TRAIN
+            'SELECT c_custkey AS "user", coalesce(CAST(item AS VARCHAR), \'none\') AS item FROM customer LEFT JOIN train ON train."user" = c_custkey', TRAIN
         ),
         "popular_items": select(
             f"SELECT item, count(*) AS votes FROM inter GROUP BY item ORDER BY votes DESC, item LIMIT {K}", INTER
