@@ -14,7 +14,7 @@ from covote.operators.similarity import (
     similarity,
 )
 from covote.operators.skew import Skew
-from covote.operators.votes import drop_seen, item_votes, popular_items, top_k, user_votes
+from covote.operators.votes import drop_seen, item_votes, popular_items, top_k, top_user_items, user_votes
 from covote.plans.recommend import (
     combine,
     item_neighbours,
@@ -31,7 +31,3 @@ from covote.plans.recommend import (
 from covote.sources.chunks import chunk_by_user, number_chunks, write_chunks
 from covote.sources.wide import from_rows, parse_wide, read_wide, wide_lines, write_pairs
 from covote.streaming.replay import chunk_stream, replay_chunks, stored_interactions
-
-__all__ = [name for name in dir() if not name.startswith("_") and name not in (
-    "functions", "operators", "plans", "sources", "streaming",
-)]

@@ -7,7 +7,18 @@ from pyspark.sql import functions as F
 
 from covote.operators.neighbours import check_size
 from covote.operators.similarity import binary_pairs, interaction_counts
-from covote.operators.skew import DEFAULT_SKEW, Skew, heavy_keys, keep_keys, key_counts, salted_join
+from covote.operators.skew import (
+    DEFAULT_SKEW,
+    Skew,
+    heavy_keys,
+    keep_keys,
+    key_counts,
+    own_slice,
+    salted_join,
+    tag_heavy,
+)
+
+MAX_HEAVY_VOTERS = 4  # their sets are listed, so it stays small
 
 
 def user_votes(
@@ -28,6 +39,89 @@ def user_votes(
     )
 
 
+def top_user_items(
+    neighbours: DataFrame, interactions: DataFrame, k: int, *, skew: Skew = DEFAULT_SKEW
+) -> DataFrame:
+    """``top_k(user_votes(neighbours, interactions), k)`` without listing what heavy users have.
+
+    A user with a large share of all rows may be a neighbour of very many others, and all
+    its items would be voted for once for each of them. So for the few heaviest users their
+    votes are summed beforehand, per item and per set of heavy users. A target whose
+    neighbours include such a set gets the k best items of that set, and the set's votes for
+    the items its other neighbours have. Any item left out stands behind those k.
+    """
+    check_size("k", k)
+    bits = min(skew.hot_keys, MAX_HEAVY_VOTERS)
+    counted = interaction_counts(interactions)
+    heavy = _heavy(interactions, "user", "item", skew)
+    tagged = tag_heavy(counted, "user", heavy)
+    is_hot = F.coalesce(F.col("place") < bits, F.lit(False))
+    bit = F.when(is_hot, F.expr("shiftleft(1, place)")).otherwise(0)
+    zero = F.lit(0).cast("long")
+
+    # item -> votes of every set of heavy users, the set being the index
+    from_heavy = (
+        tagged.where(is_hot)
+        .groupBy("item")
+        .agg(F.collect_list(F.struct(bit.alias("bit"), "times")).alias("hot"))  # at most ``bits`` entries
+        .select(
+            "item",
+            F.expr(
+                f"""transform(sequence(0, {2**bits - 1}), s ->
+                aggregate(hot, 0L, (sum, h) -> sum + if((s & h.bit) != 0, h.times, 0L)))"""
+            ).alias("by_set"),
+        )
+    )
+    best = (
+        from_heavy.select("item", F.posexplode("by_set").alias("set", "votes"))
+        .where(F.col("votes") > 0)
+        .withColumn("rank", F.row_number().over(Window.partitionBy("set").orderBy(F.col("votes").desc(), "item")))
+        .where(F.col("rank") <= k)
+        # they take the place of the items of the first user of the set
+        .withColumn("place", F.expr("bit_count((`set` & -`set`) - 1)"))
+    )
+    first_users = heavy.where(F.col("place") < bits).select("user", "place")
+    stand_ins = best.join(F.broadcast(first_users), "place").select(
+        "user",
+        "item",
+        zero.alias("times"),
+        F.array_repeat("votes", 2**bits).alias("by_set"),
+        F.col("set").alias("only_set"),
+        zero.alias("_cell"),
+    )
+    ordinary = (
+        tagged.where(~is_hot)
+        .join(from_heavy, "item", "left")
+        .select(
+            "user",
+            "item",
+            "times",
+            "by_set",
+            F.lit(None).cast("int").alias("only_set"),
+            own_slice("item").alias("_cell"),
+        )
+    )
+    voters = tag_heavy(
+        neighbours.select(F.col("src").alias("target"), F.col("dst").alias("user")), "user", heavy
+    )
+    slices = F.when(is_hot, F.lit(1)).otherwise(F.col("splits"))
+    voters = voters.withColumn("set", F.sum(bit).over(Window.partitionBy("target")).cast("int")).select(
+        "target", "user", "set", F.explode(F.sequence(zero, slices - 1)).alias("_cell")
+    )
+    votes = (
+        ordinary.unionByName(stand_ins)
+        .join(voters, ["user", "_cell"])
+        .where(F.col("only_set").isNull() | (F.col("only_set") == F.col("set")))
+        .groupBy(F.col("target").alias("user"), "item")
+        .agg(
+            F.sum("times").alias("times"),
+            F.max(F.coalesce(F.get("by_set", F.col("set")), zero)).alias("heavy"),
+        )
+        .select("user", "item", (F.col("times") + F.col("heavy")).alias("votes"))
+    )
+    return top_k(votes, k)
+
+
 def item_votes(
     neighbours: DataFrame, interactions: DataFrame, *, users=None, skew: Skew = DEFAULT_SKEW
 ) -> DataFrame:

@@ -13,7 +13,7 @@ from covote.operators.neighbours import check_size, top_neighbours
 from covote.operators.pareto import pareto_neighbours
 from covote.operators.similarity import feature_similarity, most_similar
 from covote.operators.skew import DEFAULT_SKEW, Skew, keep_keys
-from covote.operators.votes import drop_seen, item_votes, top_k, user_votes
+from covote.operators.votes import drop_seen, item_votes, top_k, top_user_items, user_votes
 
 
 def target_users(interactions: DataFrame) -> DataFrame:
@@ -37,8 +37,9 @@ def recommend_from_users(
     neighbours: DataFrame, interactions: DataFrame, k: int, *, exclude_seen: bool = False, skew: Skew = DEFAULT_SKEW
 ) -> DataFrame:
     """Top-k lists from the items of given neighbours, e.g. ones found earlier or on other data."""
-    votes = user_votes(neighbours, interactions, skew=skew)
-    return top_k(drop_seen(votes, interactions) if exclude_seen else votes, k)
+    if exclude_seen:
+        return top_k(drop_seen(user_votes(neighbours, interactions, skew=skew), interactions), k)
+    return top_user_items(neighbours, interactions, k, skew=skew)
 
 
 def recommend_from_items(
