@@ -101,6 +101,11 @@ def top_user_items(
             own_slice("item").alias("_cell"),
         )
     )
+    # Of the items only one neighbour of a target has, just its k best can be in the list.
+    # The window needs no shuffle of its own, it uses the one of the join.
+    items = ordinary.unionByName(stand_ins)
+    by_times = Window.partitionBy("user", "_cell").orderBy(F.col("times").desc(), "item")
+    items = items.withColumn("leads", F.row_number().over(by_times) <= k)
     voters = tag_heavy(
         neighbours.select(F.col("src").alias("target"), F.col("dst").alias("user")), "user", heavy
     )
@@ -109,14 +114,16 @@ def top_user_items(
         "target", "user", "set", F.explode(F.sequence(zero, slices - 1)).alias("_cell")
     )
     votes = (
-        ordinary.unionByName(stand_ins)
-        .join(voters, ["user", "_cell"])
+        items.join(voters, ["user", "_cell"])
         .where(F.col("only_set").isNull() | (F.col("only_set") == F.col("set")))
         .groupBy(F.col("target").alias("user"), "item")
         .agg(
             F.sum("times").alias("times"),
             F.max(F.coalesce(F.get("by_set", F.col("set")), zero)).alias("heavy"),
+            F.max("leads").alias("leads"),
+            F.count(F.lit(1)).alias("voters"),
         )
+        .where(F.col("leads") | (F.col("voters") > 1) | (F.col("heavy") > 0))
         .select("user", "item", (F.col("times") + F.col("heavy")).alias("votes"))
     )
     return top_k(votes, k)
