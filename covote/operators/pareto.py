@@ -68,19 +68,27 @@ def _one_feature(points: DataFrame, n: int) -> DataFrame:
     )
 
 
+def _thin(points: DataFrame, names: list[str], n: int) -> DataFrame:
+    """Drop candidates with n better ones that differ from them in one feature only.
+
+    Such a candidate is never reached, and whatever it dominates the n others dominate too.
+    The groups are small, and Spark cuts them before the shuffle, so a ``src`` with very
+    many candidates is thinned out before it is gathered.
+    """
+    for ranked in names:
+        others = [c for c in names if c != ranked]
+        group = Window.partitionBy("src", *others, F.col(ranked).isNull()).orderBy(F.col(ranked).desc())
+        points = points.withColumn("better", F.rank().over(group)).where(F.col("better") <= n)
+    return points.drop("better")
+
+
 def _two_features(points: DataFrame, n: int) -> DataFrame:
     """At most n rounds, each two windows over data that is partitioned and sorted once.
 
     Every round adds at least one candidate per unfinished ``src`` or changes nothing more.
     """
     x, y = F.col("f0"), F.col("f1")
-    # A candidate with n better ones that have the same other feature and block all it
-    # blocks can never be reached. The groups are small, and Spark cuts them before the
-    # shuffle, so a src with very many candidates is thinned out before it is gathered.
-    for same, ranked in (("f1", "f0"), ("f0", "f1")):
-        group = Window.partitionBy("src", same, F.col(ranked).isNull()).orderBy(F.col(ranked).desc())
-        points = points.withColumn("better", F.rank().over(group)).where(F.col("better") <= n)
-    points = points.drop("better").withColumn("layer", F.lit(None).cast("int"))
+    points = _thin(points, ["f0", "f1"], n).withColumn("layer", F.lit(None).cast("int"))
 
     everyone = Window.partitionBy("src")
     so_far = everyone.orderBy(x.desc_nulls_last(), y.desc_nulls_last()).rowsBetween(
@@ -121,22 +129,25 @@ def _two_features(points: DataFrame, n: int) -> DataFrame:
 def _many_features(points: DataFrame, names: list[str], n: int, skew: Skew) -> DataFrame:
     """Three features and more, in pandas on groups that Spark keeps small.
 
-    First on slices of at most ``skew.block`` candidates, to drop those with n better ones;
-    then per ``src`` on the distinct vectors left, so that ties of any number stay one row.
+    The groups are distinct vectors, so that ties of any number are one row. First come
+    slices of at most ``skew.block`` vectors, to drop those with n better ones; then what is
+    left of each ``src``.
     """
     absent = F.lit(-1.0)  # below every cosine, and unlike NULL it can be grouped and joined on
-    points = points.select("src", "dst", *[F.coalesce(F.col(c), absent).alias(c) for c in names])
+    filled = [F.coalesce(F.col(c), absent).alias(c) for c in names]
+    vectors = (
+        _thin(points, names, n)
+        .groupBy("src", *filled)
+        .agg(F.count(F.lit(1)).alias("size"))
+    )
     has = F.concat(*[(F.col(c) < 0).cast("int").cast("string") for c in names])
-    heavy = heavy_keys(key_counts(points, "src"), "src", skew)
-    sliced = tag_heavy(points, "src", heavy).select(
-        *points.columns, has.alias("has"), own_slice("dst").alias("slice")
+    heavy = heavy_keys(key_counts(vectors, "src"), "src", skew)
+    sliced = tag_heavy(vectors, "src", heavy).select(
+        *vectors.columns, has.alias("has"), own_slice(*names).alias("slice")
     )
 
     def reachable(pdf: pd.DataFrame) -> pd.DataFrame:
-        vectors, member, size = np.unique(
-            pdf[names].to_numpy(), axis=0, return_inverse=True, return_counts=True
-        )
-        return pdf[(_dominators(vectors, size) < n)[member.reshape(-1)]]
+        return pdf[_dominators(pdf[names].to_numpy(), pdf["size"].to_numpy()) < n]
 
     def layers(pdf: pd.DataFrame) -> pd.DataFrame:
         vectors, size = pdf[names].to_numpy(), pdf["size"].to_numpy()
@@ -152,14 +163,17 @@ def _many_features(points: DataFrame, names: list[str], n: int, skew: Skew) -> D
             chosen += int(size[front].sum())
         return pdf[["src", *names]].assign(layer=layer)[layer > 0]
 
-    thinned = sliced.groupBy("src", "has", "slice").applyInPandas(reachable, sliced.schema)
     layered = (
-        thinned.groupBy("src", *names)
-        .agg(F.count(F.lit(1)).alias("size"))
+        sliced.groupBy("src", "has", "slice")
+        .applyInPandas(reachable, sliced.schema)
         .groupBy("src")
         .applyInPandas(layers, f"src long, {', '.join(f'{c} double' for c in names)}, layer int")
     )
-    return thinned.join(layered, ["src", *names]).select("src", "dst", "layer")
+    return (
+        points.select("src", "dst", *filled)
+        .join(layered, ["src", *names])
+        .select("src", "dst", "layer")
+    )
 
 
 def _dominators(vectors: np.ndarray, size: np.ndarray) -> np.ndarray:
