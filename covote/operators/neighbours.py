@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from covote.functions.columns import cosine
@@ -23,6 +23,14 @@ def check_size(name: str, value: int) -> None:
         raise ValueError(f"{name} must be a whole number of at least 1, got {value!r}")
 
 
+def _place(group: list[str], best_first, id_: str, ties: bool) -> Column:
+    """Place within a group; with ties, equals share one, and otherwise the lower id is first."""
+    window = Window.partitionBy(*group)
+    if ties:
+        return F.rank().over(window.orderBy(best_first))
+    return F.row_number().over(window.orderBy(best_first, id_))
+
+
 def neighbours(sim: DataFrame, n: int, *, ties: bool = False, targets=None) -> DataFrame:
     """The ``n`` most similar entities of each ``src``: ``src, dst, sim, rank``.
 
@@ -30,27 +38,28 @@ def neighbours(sim: DataFrame, n: int, *, ties: bool = False, targets=None) -> D
     as similar as the n-th are kept, and ``rank`` is shared among equals.
     """
     check_size("n", n)
-    group = Window.partitionBy("src")
-    most_similar = F.col("sim").desc()
-    if ties:
-        rank = F.rank().over(group.orderBy(most_similar))
-    else:
-        rank = F.row_number().over(group.orderBy(most_similar, "dst"))
     return (
         keep_keys(sim, "src", targets)
-        .withColumn("rank", rank)
+        .withColumn("rank", _place(["src"], F.col("sim").desc(), "dst", ties))
         .where(F.col("rank") <= n)
         .select("src", "dst", "sim", "rank")
     )
 
 
 def top_neighbours(
-    df: DataFrame, entity: str, basis: str, n: int, *, targets=None, skew: Skew = DEFAULT_SKEW
+    df: DataFrame,
+    entity: str,
+    basis: str,
+    n: int,
+    *,
+    ties: bool = False,
+    targets=None,
+    skew: Skew = DEFAULT_SKEW,
 ) -> DataFrame:
     """``neighbours(similarity(df, entity, basis), n)`` without building the whole matrix.
 
     Two facts keep it small, and both drop only what cannot be in a list of n, because at
-    least n others have the same or a higher similarity and stand before it.
+    least n others stand before it: by a higher similarity or, without ``ties``, a lower id.
 
     *Hot keys.* Pairing all members of a basis key costs the square of its popularity, so
     the few most popular keys stay out of the self-join. Entities that meet on such keys
@@ -72,11 +81,10 @@ def top_neighbours(
     )
     profiled = tagged.where(~is_hot).join(profile, "entity")
 
-    lowest = Window.partitionBy(*CELL)
     lo = in_cells(keep_keys(profiled, "entity", targets), "lo")
-    lo = lo.withColumn("near_lo", F.row_number().over(lowest.orderBy("n_lo", "lo")) <= n + 1)
+    lo = lo.withColumn("near_lo", _place(CELL, "n_lo", "lo", ties) <= n + 1)
     hi = in_cells(profiled, "hi")
-    hi = hi.withColumn("near_hi", F.row_number().over(lowest.orderBy("n_hi", "hi")) <= n + 1)
+    hi = hi.withColumn("near_hi", _place(CELL, "n_hi", "hi", ties) <= n + 1)
     shared_hot = F.bit_count(F.col("sig_lo").bitwiseAND(F.col("sig_hi"))).cast("long")
     met = meet(lo, hi, targets).select(
         "lo",
@@ -87,7 +95,7 @@ def top_neighbours(
         (F.col("near_lo").cast("int") + 2 * F.col("near_hi").cast("int")).alias("near"),
         F.lit(1).alias("seen"),
     )
-    met = met.unionByName(_hot_candidates(profile, n, targets, skew))
+    met = met.unionByName(_hot_candidates(profile, n, ties, targets, skew))
 
     found = (
         met.groupBy("lo", "hi", "nn")
@@ -106,19 +114,18 @@ def top_neighbours(
     else:
         found = found.withColumnsRenamed({"lo": "src", "hi": "dst"})
         near = F.col("near") >= 2
-    return neighbours(found.where(near), n)
+    return neighbours(found.where(near), n, ties=ties)
 
 
-def _hot_candidates(profile: DataFrame, n: int, targets, skew: Skew) -> DataFrame:
-    """The n + 1 entities that each entity may at best meet on its hot keys alone.
+def _hot_candidates(profile: DataFrame, n: int, ties: bool, targets, skew: Skew) -> DataFrame:
+    """The first n + 1 entities, or with ties places, that each entity may meet on hot keys alone.
 
     One more than n, because an entity may stand in its own list. The tables by signature
     have at most 2 ** hot_keys groups, whatever the number of entities.
     """
     on_hot = profile.where(F.col("sig") != 0)
-    first_of_class = Window.partitionBy("sig").orderBy("n", "entity")
     short = (
-        on_hot.withColumn("place", F.row_number().over(first_of_class))
+        on_hot.withColumn("place", _place(["sig"], "n", "entity", ties))
         .where(F.col("place") <= n + 1)
         .select(F.col("entity").alias("dst"), F.col("n").alias("n_dst"), F.col("sig").alias("sig_dst"))
     )
@@ -134,16 +141,15 @@ def _hot_candidates(profile: DataFrame, n: int, targets, skew: Skew) -> DataFram
         .agg(F.count(F.lit(1)).alias("hot"))
     )
     strength = (F.col("hot") * F.col("hot")).cast("double") / F.col("n_dst").cast("double")
-    strongest = Window.partitionBy("sig_src").orderBy(strength.desc(), "dst")
     best = (
-        shared.withColumn("place", F.row_number().over(strongest))
+        shared.withColumn("place", _place(["sig_src"], strength.desc(), "dst", ties))
         .where(F.col("place") <= n + 1)
         .select("sig_src", "dst", "n_dst", "hot")
     )
     src = keep_keys(on_hot, "entity", targets).select(
         F.col("entity").alias("src"), F.col("n").alias("n_src"), F.col("sig").alias("sig_src")
     )
-    if (n + 1) << skew.hot_keys <= 100_000:  # the most rows ``best`` can have
+    if not ties and (n + 1) << skew.hot_keys <= 100_000:  # the most rows ``best`` can have
         found = src.join(F.broadcast(best), "sig_src")
     else:
         heavy = heavy_keys(key_counts(src, "sig_src"), "sig_src", skew)

@@ -136,7 +136,7 @@ def item_neighbours_target(spark, sf):
 
 
 def neighbours_with_ties(spark, sf):
-    return covote.neighbours(user_similarity(spark, sf), N, ties=True)
+    return covote.user_neighbours(inter(spark, sf), N, ties=True)
 
 
 def event_neighbours_with_ties(spark, sf):

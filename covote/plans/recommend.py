@@ -6,7 +6,7 @@ one-column DataFrame of any size. The lists are those of the full run for these
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from covote.operators.neighbours import check_size, top_neighbours
@@ -21,16 +21,20 @@ def target_users(interactions: DataFrame) -> DataFrame:
     return interactions.select(F.col("user").cast("long").alias("user")).where("user is not null").distinct()
 
 
-def user_neighbours(interactions: DataFrame, n: int, *, targets=None, skew: Skew = DEFAULT_SKEW) -> DataFrame:
-    """The ``n`` users most like each user."""
-    return top_neighbours(interactions, "user", "item", n, targets=targets, skew=skew)
+def user_neighbours(
+    interactions: DataFrame, n: int, *, ties: bool = False, targets=None, skew: Skew = DEFAULT_SKEW
+) -> DataFrame:
+    """The ``n`` users most like each user, with ``ties`` also those as similar as the n-th."""
+    return top_neighbours(interactions, "user", "item", n, ties=ties, targets=targets, skew=skew)
 
 
-def item_neighbours(interactions: DataFrame, n: int, *, targets=None, skew: Skew = DEFAULT_SKEW) -> DataFrame:
+def item_neighbours(
+    interactions: DataFrame, n: int, *, ties: bool = False, targets=None, skew: Skew = DEFAULT_SKEW
+) -> DataFrame:
     """The ``n`` items most like each item; with ``targets`` only for the items these users have."""
     if targets is not None:
         targets = keep_keys(interactions.select("user", "item"), "user", targets).select("item").distinct()
-    return top_neighbours(interactions, "item", "user", n, targets=targets, skew=skew)
+    return top_neighbours(interactions, "item", "user", n, ties=ties, targets=targets, skew=skew)
 
 
 def recommend_from_users(
@@ -124,9 +128,15 @@ def multi_objective_neighbours(
     ``preselect`` keeps only that many most similar users per feature, with ties, before
     the fronts are formed; it saves work and may change the result.
     """
-    sims = feature_similarity(features, targets=targets, skew=skew)
     if preselect is not None:
         check_size("preselect", preselect)
+    if len(features) == 1:  # the fronts are the levels of similarity, and none is cut
+        found = user_neighbours(features[0], n, ties=True, targets=targets, skew=skew)
+        level = Window.partitionBy("src").orderBy(F.col("sim").desc())
+        layers = found.select("src", "dst", F.dense_rank().over(level).alias("layer"), "rank")
+        return layers.where(F.col("rank") <= (preselect or n)).drop("rank")
+    sims = feature_similarity(features, targets=targets, skew=skew)
+    if preselect is not None:
         sims = most_similar(sims, preselect)
     return pareto_neighbours(sims, n, missing=missing, skew=skew)
 

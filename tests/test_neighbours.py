@@ -121,10 +121,20 @@ def test_similarity_properties(spark):
 def test_ties_contain_the_plain_list(spark):
     sims = covote.similarity(covote.from_rows(spark, hot_rows(3)), "user", "item")
     plain = {(r["src"], r["dst"]) for r in covote.neighbours(sims, 3).collect()}
-    ties = {(r["src"], r["dst"]) for r in covote.neighbours(sims, 3, ties=True).collect()}
-    one_feature = covote.pareto_neighbours(sims.withColumnRenamed("sim", "f0"), 3)
+    with_rank = {(r["src"], r["dst"], r["rank"]) for r in covote.neighbours(sims, 3, ties=True).collect()}
+    ties = {r[:2] for r in with_rank}
+    one_feature = {tuple(r) for r in covote.pareto_neighbours(sims.withColumnRenamed("sim", "f0"), 3).collect()}
     assert plain < ties
-    assert ties == {(r["src"], r["dst"]) for r in one_feature.collect()}
+    assert ties == {r[:2] for r in one_feature}
+    data = covote.from_rows(spark, hot_rows(3))
+    for skew in SKEWS:
+        got = covote.user_neighbours(data, 3, ties=True, skew=skew).collect()
+        assert {(r["src"], r["dst"], r["rank"]) for r in got} == with_rank
+        assert len(got) == len(with_rank)
+        assert {tuple(r) for r in covote.multi_objective_neighbours([data], 3, skew=skew).collect()} == one_feature
+    first = {r[:2] for r in one_feature if r[2] == 1}
+    got = covote.multi_objective_neighbours([data], 3, preselect=1).collect()
+    assert {(r["src"], r["dst"]) for r in got} == first
 
 
 def test_hybrid_votes_are_one_or_two(spark):
