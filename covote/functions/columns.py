@@ -13,9 +13,15 @@ def cosine(common: Column, degree_product: Column) -> Column:
 
     Written as one square root over one quotient of whole numbers. Both steps round
     correctly, so cosines that are equal as numbers are equal as doubles and can be
-    ordered and compared without rounding them first.
+    ordered and compared without rounding them first. Doubles, because the product of the
+    degrees of two very popular entities is beyond a BIGINT.
     """
-    return F.sqrt((common * common).cast("double") / degree_product.cast("double"))
+    overlap = common.cast("double")
+    return F.sqrt(overlap * overlap / degree_product.cast("double"))
+
+
+def degree_product(first: str, second: str) -> Column:
+    return F.col(first).cast("double") * F.col(second).cast("double")
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from covote.functions.columns import cosine
+from covote.functions.columns import cosine, degree_product
 from covote.operators.similarity import CELL, binary_pairs, both_directions, in_cells, meet
 from covote.operators.skew import (
     DEFAULT_SKEW,
@@ -89,7 +89,7 @@ def top_neighbours(
     met = meet(lo, hi, targets).select(
         "lo",
         "hi",
-        (F.col("n_lo") * F.col("n_hi")).alias("nn"),
+        degree_product("n_lo", "n_hi").alias("nn"),
         shared_hot.alias("hot"),
         # whether lo may be in the list of hi, and hi in that of lo, if this is all they share
         (F.col("near_lo").cast("int") + 2 * F.col("near_hi").cast("int")).alias("near"),
@@ -158,7 +158,7 @@ def _hot_candidates(profile: DataFrame, n: int, ties: bool, targets, skew: Skew)
     return found.where(F.col("src") != F.col("dst")).select(
         F.when(swap, F.col("dst")).otherwise(F.col("src")).alias("lo"),
         F.when(swap, F.col("src")).otherwise(F.col("dst")).alias("hi"),
-        (F.col("n_src") * F.col("n_dst")).alias("nn"),
+        degree_product("n_src", "n_dst").alias("nn"),
         "hot",
         F.lit(3).alias("near"),
         F.lit(0).alias("seen"),

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from covote.functions.columns import cosine
+from covote.functions.columns import cosine, degree_product
 from covote.operators.skew import DEFAULT_SKEW, Skew, all_slices, heavy_keys, keep_keys, key_counts, own_slice, tag_heavy
 
 
@@ -106,7 +106,7 @@ def weighted_meetings(df: DataFrame, entity: str, basis: str, targets, skew: Ske
     met = meet(
         in_cells(keep_keys(profiled, "entity", targets), "lo"), in_cells(profiled, "hi"), targets
     )
-    return met.select("lo", "hi", (F.col("n_lo") * F.col("n_hi")).alias("nn"))
+    return met.select("lo", "hi", degree_product("n_lo", "n_hi").alias("nn"))
 
 
 def directed(df: DataFrame, targets) -> DataFrame:

@@ -168,3 +168,13 @@ def test_empty_input_and_bad_sizes(spark):
         covote.multi_objective_neighbours([empty], 0)
     with pytest.raises(ValueError):
         covote.pareto_neighbours(covote.feature_similarity([empty]), 1, missing="none")
+
+
+def test_degrees_beyond_a_bigint_product(spark):
+    from pyspark.sql import functions as F
+
+    from covote.functions.columns import cosine, degree_product
+
+    big = spark.createDataFrame([(4 * 10**9, 9 * 10**9, 10**9)], "n_lo long, n_hi long, common long")
+    sim = big.select(cosine(F.col("common"), degree_product("n_lo", "n_hi"))).first()[0]
+    assert sim == pytest.approx(1 / 6)

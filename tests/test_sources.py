@@ -35,6 +35,7 @@ def test_malformed_lines(spark, bad):
 
 def chunked_rows(size):
     rows = [(1, i) for i in range(0, 300, 3)] + [(2, 10**12 + i * i) for i in range(47)] + [(3, -4)]
+    rows += [(5, i) for i in (-(2**63), 2**63 - 1, 0, 1, 2, -(2**62), 2**62, 3)]
     rows += [(4, 7)] * (2 * size + 3) + [(4, 9)] * 2 + [(1, 0)] * 3
     return rows
 
