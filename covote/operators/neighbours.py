@@ -107,7 +107,7 @@ def top_neighbours(
         "hi",
         cosine(F.col("common"), F.col("nn")).alias("sim"),
         F.when(F.col("common") > 1, F.lit(3)).otherwise(F.col("near")).alias("near"),
-    )
+    ).where(F.col("near") > 0)
     if targets is None:
         found = both_directions(found)
         near = F.when(F.col("src") < F.col("dst"), F.col("near") >= 2).otherwise(F.col("near") % 2 == 1)
