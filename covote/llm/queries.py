@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covote.llm import toxicity
+from covote.llm import minhash, toxicity
 from covote.llm.common import table
 
 
@@ -23,5 +23,9 @@ def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("held_out", F.coalesce(fold(3) == 1, F.lit(False)))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity,)}
+def op8_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_toxicity, op8_minhash)}
 ORACLE_SQL: dict[str, str] = {}

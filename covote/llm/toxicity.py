@@ -24,7 +24,7 @@ WORD = re.compile(r"[^\W_]+")
 STEM = 5  # characters at the start of a longer word that are a feature of their own
 WRONG = 0.02
 THRESHOLD = 0.7
-SAMPLE = 6000  # labelled documents of each class that the fit may use, by hash of their id
+SAMPLE = 3000  # labelled documents of each class that the fit may use, by hash of their id
 
 
 @dataclass(frozen=True)
