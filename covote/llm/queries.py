@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covote.llm import minhash, toxicity
+from covote.llm import minhash, passages, toxicity
 from covote.llm.common import table
 
 
@@ -27,5 +27,9 @@ def op8_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op8_minhash)}
+def op7_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return passages.repeated(table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_toxicity, op7_passages, op8_minhash)}
 ORACLE_SQL: dict[str, str] = {}
