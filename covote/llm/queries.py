@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covote.llm import minhash, passages, toxicity
+from covote.llm import minhash, passages, pii, toxicity
 from covote.llm.common import table
 
 
@@ -14,6 +14,10 @@ def fold(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op1_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.replace_pii(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def toxicity_model(spark: SparkSession, sf: str) -> toxicity.Model:
     return toxicity.fit(table(spark, sf, "documents"), table(spark, sf, "labels").where(fold(3) != 1))
 
@@ -31,5 +35,5 @@ def op7_passages(spark: SparkSession, sf: str) -> DataFrame:
     return passages.repeated(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op7_passages, op8_minhash)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op7_passages, op8_minhash)}
 ORACLE_SQL: dict[str, str] = {}
