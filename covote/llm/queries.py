@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covote.llm import minhash, passages, pii, toxicity
+from covote.llm import minhash, packing, passages, pii, toxicity
 from covote.llm.common import table
 
 
@@ -35,5 +36,9 @@ def op7_passages(spark: SparkSession, sf: str) -> DataFrame:
     return passages.repeated(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op7_passages, op8_minhash)}
+def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.packed(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op7_passages, op8_minhash, op9_packing)}
 ORACLE_SQL: dict[str, str] = {}
