@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +12,9 @@ from pyspark.sql import functions as F
 from covote.operators.lineage import scratch_path
 
 WORD_CACHE = 1_000_000  # words whose codes a worker remembers before it starts anew
+CHUNK_CACHE = 400_000  # chunks of text whose ids a worker remembers
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_CHUNK = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _MASK = 0xFFFFFFFFFFFFFFFF
 
 
@@ -25,6 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def chunks(text: str) -> list[str]:
+    """Words with the blank before them, and runs of white space.
+
+    No match of the tokenizers' pattern crosses the end of a chunk, and white space falls to chunks as
+    it does to matches, so a text's tokens are those of its chunks, one after the other.
+    """
+    return _CHUNK.findall(text)
+
+
 class WordCodes(dict):
     """A 64-bit code for each word, the same in every process."""
 

@@ -18,11 +18,47 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from covote.llm.common import CHUNK_CACHE, chunks
+
 CAPACITY = 1024
 END = 0
 BLOCK = 1_000_000  # tokens that are packed together
 LINEAR, QUADRATIC = 1.0, 1.0 / CAPACITY
 
+_END = np.array([END], "<u4").tobytes()
+
+
+class ChunkIds(dict):
+    """The ids of chunks of text as little-endian bytes; forgets all when there are too many."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        vocabulary = tokenizer.get_vocab()
+        self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for piece, k in vocabulary.items():
+            self.widths[k] = len(piece)  # a character of a byte-level piece is a byte
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def learn(self, wanted: set[str]) -> None:
+        """Encodes chunks of a blank and a word as one text, which is cut by its bytes."""
+        if len(self) >= CHUNK_CACHE:
+            self.clear()
+        unseen = wanted.difference(self)
+        joint = [c for c in unseen if len(c) > 1 and c[0] == " " and not c[1].isspace()]
+        if joint:
+            ids = self.ids("".join(joint))
+            ends = np.cumsum(self.widths[ids])
+            cuts = np.searchsorted(ends, np.cumsum([len(c.encode()) for c in joint])) + 1
+            raw, start = ids.tobytes(), 0
+            for c, end in zip(joint, cuts.tolist(), strict=True):
+                self[c] = raw[4 * start : 4 * end]
+                start = end
+        for c in unseen:
+            if c not in self:
+                self[c] = self.ids(c).tobytes()
+
 
 def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of documents of ``lengths`` tokens.
@@ -84,28 +120,31 @@ def packed(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, block: in
 
         tokenizer = Tokenizer.from_file(vocabulary)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        coded = ChunkIds(tokenizer)
         base = TaskContext.get().partitionId() << 33
 
-        def closed(ids: list, tokens: list[np.ndarray], base: int) -> tuple[pd.DataFrame, int]:
-            found = pack(np.array([len(t) for t in tokens]), capacity)
-            crc = [zlib.crc32(tokens[d][start : start + n].tobytes()) for d, start, n, _, _ in found]
+        def closed(ids: list, tokens: list[bytes], base: int) -> tuple[pd.DataFrame, int]:
+            found = pack(np.array([len(t) // 4 for t in tokens]), capacity)
+            crc = [zlib.crc32(memoryview(tokens[d])[4 * start : 4 * (start + n)]) for d, start, n, _, _ in found]
             doc, start, n, sequence, offset = np.array(found, np.int64).T
             out = pd.DataFrame(
                 {
                     "doc_id": pd.array([ids[d] for d in doc], "Int64"), "start": start, "length": n, "ids_crc32": crc,
-                    "doc_tokens": [len(tokens[d]) for d in doc], "sequence_id": base + sequence, "offset": offset,
+                    "doc_tokens": [len(tokens[d]) // 4 for d in doc], "sequence_id": base + sequence, "offset": offset,
                 }
             )
             return out, base + int(sequence.max()) + 1
 
         ids, tokens, held = [], [], 0
         for rows in batches:
-            for k in range(0, len(rows), 64):
-                some = rows.iloc[k : k + 64]
-                ids += [None if pd.isna(d) else int(d) for d in some["doc_id"]]
-                for e in tokenizer.encode_batch_fast([t or "" for t in some["text"]], add_special_tokens=False):
-                    tokens.append(np.array([*e.ids, END], "<u4"))
-                    held += len(tokens[-1])
+            for k in range(0, len(rows), 32):
+                some = rows.iloc[k : k + 32]
+                split = [chunks(t or "") for t in some["text"]]
+                coded.learn(set().union(*split))
+                for doc_id, parts in zip(some["doc_id"], split, strict=True):
+                    ids.append(None if pd.isna(doc_id) else int(doc_id))
+                    tokens.append(b"".join(map(coded.__getitem__, parts)) + _END)
+                    held += len(tokens[-1]) // 4
                 if held >= block:
                     out, base = closed(ids, tokens, base)
                     yield out

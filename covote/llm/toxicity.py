@@ -8,6 +8,7 @@ the labels of documents alone. The scores of sentences then say where the toxic
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,7 +25,7 @@ WORD = re.compile(r"[^\W_]+")
 STEM = 5  # characters at the start of a longer word that are a feature of their own
 WRONG = 0.02
 THRESHOLD = 0.7
-SAMPLE = 3000  # labelled documents of each class that the fit may use, by hash of their id
+SAMPLE = 1500  # labelled documents of each class that the fit may use, by hash of their id
 
 
 @dataclass(frozen=True)
@@ -45,27 +46,27 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def fit_bags(bags: list[list[set[str]]], labels: list[int], rounds: int = 250, min_docs: int = 10, l1: float = 2.0) -> Model:
+def fit_texts(texts: list[str | None], labels: list[int], rounds: int = 250, min_docs: int = 10, l1: float = 2.0) -> Model:
     """Weights by proximal gradient steps on the noisy-or likelihood; rare and idle words get none.
 
-    Without bags of both classes the model scores every sentence with the bias alone.
+    Without texts of both classes the model scores every sentence with the bias alone.
     """
     y = np.array(labels, float)
     if len(y) == 0 or y.min() == y.max():
         return Model({}, -9.0)
     seen: Counter = Counter()
-    for bag in bags:
-        seen.update(set().union(*bag) if bag else ())
+    for text in texts:
+        seen.update(features((text or "").lower()))
     index = {w: k for k, w in enumerate(sorted(w for w, n in seen.items() if n >= min_docs))}
-    word, row, doc = [], [], []
-    for d, bag in enumerate(bags):
-        for sentence in bag:
-            for w in sentence:
-                if w in index:
-                    word.append(index[w])
-                    row.append(len(doc))
+    del seen
+    word, row, doc = array("i"), array("i"), array("i")
+    for d, text in enumerate(texts):
+        for a, b in sentences(text or ""):
+            here = [index[w] for w in features(text[a:b].lower()) if w in index]
+            word.extend(here)
+            row.extend([len(doc)] * len(here))
             doc.append(d)
-    word, row, doc = np.array(word, np.int64), np.array(row, np.int64), np.array(doc, np.int64)
+    word, row, doc = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (word, row, doc))
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     w, b, step = np.zeros(len(index)), -8.0, np.full(len(index), 1e-6)
     step_b = 1e-6
@@ -96,11 +97,6 @@ def features(text: str) -> set[str]:
     return found | {w[:STEM] + "*" for w in found if len(w) > STEM}
 
 
-def bag(text: str | None) -> list[set[str]]:
-    text = text or ""
-    return [features(text[a:b].lower()) for a, b in sentences(text)]
-
-
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Trains on at most ``sample`` documents of each class.
 
@@ -119,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         .collect()
     )
     rows.sort(key=lambda r: (r[0], r[1] or ""))
-    return fit_bags([bag(r[1]) for r in rows], [int(r[2] > 0) for r in rows])
+    return fit_texts([r[1] for r in rows], [int(r[2] > 0) for r in rows])
 
 
 class Marked(dict):
