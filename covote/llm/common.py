@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +10,6 @@ from pyspark.sql import functions as F
 from covote.operators.lineage import scratch_path
 
 WORD_CACHE = 1_000_000  # words whose codes a worker remembers before it starts anew
-CHUNK_CACHE = 400_000  # chunks of text whose ids a worker remembers
-_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_CHUNK = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _MASK = 0xFFFFFFFFFFFFFFFF
 
 
@@ -30,13 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def chunks(text: str) -> list[str]:
-    """Words with the blank before them, and runs of white space.
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in the pieces of byte-level vocabularies.
 
-    No match of the tokenizers' pattern crosses the end of a chunk, and white space falls to chunks as
-    it does to matches, so a text's tokens are those of its chunks, one after the other.
+    Visible Latin-1 characters stand for themselves, the rest for letters from U+0100 on, in order.
     """
-    return _CHUNK.findall(text)
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
 
 
 class WordCodes(dict):

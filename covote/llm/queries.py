@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covote.llm import minhash, packing, passages, pii, toxicity
+from covote.llm import bpe, minhash, packing, passages, pii, toxicity
 from covote.llm.common import table
 
 
@@ -32,13 +32,19 @@ def op8_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf, "documents"))
 
 
+def op3_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.digests(
+        table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+
+
 def op7_passages(spark: SparkSession, sf: str) -> DataFrame:
     return passages.repeated(table(spark, sf, "documents"))
 
 
 def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.packed(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.packed(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op7_passages, op8_minhash, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_bpe, op7_passages, op8_minhash, op9_packing)}
 ORACLE_SQL: dict[str, str] = {}
