@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covote.llm import bpe, minhash, packing, passages, pii, rules, toxicity
+from covote.llm import bpe, html, minhash, packing, passages, pii, rules, toxicity
 from covote.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op5_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rules.judged(table(spark, sf, "documents"))
 
 
+def op6_html(spark: SparkSession, sf: str) -> DataFrame:
+    return html.extracted(table(spark, sf, "pages"))
+
+
 def op7_passages(spark: SparkSession, sf: str) -> DataFrame:
     return passages.repeated(table(spark, sf, "documents"))
 
@@ -50,5 +54,5 @@ def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packed(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_bpe, op5_rules, op7_passages, op8_minhash, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_bpe, op5_rules, op6_html, op7_passages, op8_minhash, op9_packing)}
 ORACLE_SQL: dict[str, str] = {}
