@@ -59,6 +59,8 @@ TABLE = np.array([
     (2, 1.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0), (4, 0.8, 30, 0.0, 2, 1.0, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0),
     (5, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0), (8, 0.6, 3, 0.9, 2, 1.0, 0, 0, 0, 0), (20, 0.9, 5, 0.9, 5, 0.9, 0, 0, 0, 0),
     (2, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0, 0), (6, 0.4, 70, 0.0, 0, 0.0, 0, 0, 0, 0),
+    (1, 0.0, 30, 0.0, 3, 1.0, 1, 0, 0, 1), (2, 0.0, 50, 0.0, 4, 0.8, 1, 0, 0, 1), (3, 0.0, 9, 0.0, 2, 1.0, 1, 0, 0, 1),
+    (4, 0.0, 70, 0.0, 1, 1.0, 1, 0, 0, 1), (5, 0.0, 20, 0.0, 2, 1.0, 1, 0, 1, 1), (3, 0.5, 20, 0.0, 2, 1.0, 1, 0, 0, 1),
     (30, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0, 1), (4, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0, 1), (9, 0.0, 0, 0.0, 3, 1.0, 1, 0, 1, 1),
     (50, 0.0, 60, 0.0, 2, 1.0, 1, 0, 0, 1), (6, 0.0, 30, 0.0, 2, 1.0, 1, 0, 0, 1), (12, 1.0, 30, 0.0, 2, 1.0, 1, 0, 0, 1),
     (70, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 1), (45, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (60, 0.0, 60, 0.0, 2, 1.0, 0, 0, 0, 1),
