@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covote.llm import bpe, html, minhash, packing, passages, pii, rules, toxicity
+from covote.llm import ann, bpe, html, minhash, packing, passages, pii, rules, toxicity
 from covote.llm.common import table
 
 
@@ -54,5 +54,9 @@ def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packed(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_bpe, op5_rules, op6_html, op7_passages, op8_minhash, op9_packing)}
+def op10_ann(spark: SparkSession, sf: str) -> DataFrame:
+    return ann.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_bpe, op5_rules, op6_html, op7_passages, op8_minhash, op9_packing, op10_ann)}
 ORACLE_SQL: dict[str, str] = {}
