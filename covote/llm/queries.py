@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covote.llm import ann, bpe, html, minhash, packing, passages, pii, rules, toxicity
+from covote.llm import ann, bpe, html, lmscore, minhash, packing, passages, pii, rules, toxicity
 from covote.llm.common import table
 
 
@@ -38,6 +38,11 @@ def op3_bpe(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op4_lmscore(spark: SparkSession, sf: str) -> DataFrame:
+    found = lmscore.scored(table(spark, sf, "documents"), fold(7) != 2)
+    return found.withColumn("held_out", F.coalesce(fold(7) == 2, F.lit(False)))
+
+
 def op5_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rules.judged(table(spark, sf, "documents"))
 
@@ -58,5 +63,5 @@ def op10_ann(spark: SparkSession, sf: str) -> DataFrame:
     return ann.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_bpe, op5_rules, op6_html, op7_passages, op8_minhash, op9_packing, op10_ann)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_bpe, op4_lmscore, op5_rules, op6_html, op7_passages, op8_minhash, op9_packing, op10_ann)}
 ORACLE_SQL: dict[str, str] = {}
