@@ -11,13 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, or else the checkpoint folder of the context.
 
-    Only a session that has neither, as in local tests, gets a temporary folder.
+    A local session that has neither gets a temporary folder; on a cluster, where other machines
+    could not see one, that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("name a shared folder in spark.checkpoint.dir")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="covote-"))
     return context.getCheckpointDir()
 

@@ -11,15 +11,20 @@ from covote.functions.columns import cosine, degree_product
 from covote.operators.skew import DEFAULT_SKEW, Skew, all_slices, heavy_keys, keep_keys, key_counts, own_slice, tag_heavy
 
 
-def interaction_counts(df: DataFrame, first: str = "user", second: str = "item") -> DataFrame:
+def interaction_counts(
+    df: DataFrame, first: str = "user", second: str = "item", *, text: str | None = None
+) -> DataFrame:
     """Distinct pairs with ``times``, how often each occurs; rows with a NULL are no interaction.
 
+    Ids are cast to BIGINT, but for the column ``text`` where it holds strings: these are taken whole.
+
     The one aggregation all operators start from. The grouping order does not depend on
     which column is asked for first, so Spark shuffles the input once for all of them.
     """
     columns = sorted((first, second))
+    whole = [c for c, kind in df.select(*columns).dtypes if c == text and kind == "string"]
     return (
-        df.select(*[F.col(c).cast("long").alias(c) for c in columns])
+        df.select(*[F.col(c) if c in whole else F.col(c).cast("long").alias(c) for c in columns])
         .where(F.col(first).isNotNull() & F.col(second).isNotNull())
         .groupBy(*columns)
         .agg(F.count(F.lit(1)).alias("times"))
@@ -29,7 +34,7 @@ def interaction_counts(df: DataFrame, first: str = "user", second: str = "item")
 
 def binary_pairs(df: DataFrame, entity: str, basis: str) -> DataFrame:
     """The binary vectors as distinct ``(entity, basis)`` pairs."""
-    counted = interaction_counts(df, entity, basis)
+    counted = interaction_counts(df, entity, basis, text=basis)
     # always true; keeps the count in the plan so that it equals the plan the votes use
     return counted.where(F.col("times") > 0).select(
         F.col(entity).alias("entity"), F.col(basis).alias("basis")

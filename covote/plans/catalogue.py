@@ -99,8 +99,8 @@ def count_containing(spark, sf):
 
 def left_outer_interactions(spark, sf):
     users = table(spark, sf, "customer").select(F.col("c_custkey").alias("user"))
-    joined = users.join(train(spark, sf), "user", "left")
-    return joined.select("user", F.coalesce(F.col("item").cast("string"), F.lit("none")).alias("item"))
+    events = table(spark, sf, "events").select(F.col("user_id").alias("user"), F.col("event_type").alias("item"))
+    return users.join(events, "user", "left").select("user", F.coalesce("item", F.lit("none")).alias("item"))
 
 
 def popular_items(spark, sf):
@@ -142,7 +142,7 @@ def neighbours_with_ties(spark, sf):
 def event_neighbours_with_ties(spark, sf):
     """Users by shared event names; nearly all similarities are equal."""
     events = table(spark, sf, "events").select(
-        F.col("user_id").alias("user"), F.ascii("event_type").alias("item")
+        F.col("user_id").alias("user"), F.col("event_type").alias("item")
     )
     return covote.neighbours(covote.similarity(events, "user", "item"), N, ties=True)
 
@@ -186,6 +186,12 @@ def rec_item_cf_target(spark, sf):
     return covote.recommend_item(inter(spark, sf), N, K, targets=targets(spark, sf))
 
 
+def rec_item_cf_other_data(spark, sf):
+    """Item neighbours from the earlier interactions, votes by the later ones."""
+    found = covote.item_neighbours(train(spark, sf), N)
+    return covote.recommend_from_items(found, held_out(spark, sf), K)
+
+
 def rec_hybrid(spark, sf):
     return covote.recommend_hybrid(inter(spark, sf), N, K)
 
@@ -202,10 +208,10 @@ def feature_similarity(spark, sf):
 
 
 def feature_text(spark, sf):
-    """Both features of every pair as text, similarities to six places."""
+    """Both features of every pair as text, read back as numbers."""
     rows = covote.feature_rows(covote.feature_similarity(features(spark, sf)))
-    text = covote.feature_text(F.col("feature"), F.col("sim").cast("decimal(8,6)"))
-    return rows.select("src", "dst", text.alias("text"))
+    parts = F.split(covote.feature_text(F.col("feature"), F.col("sim")), " , ")
+    return rows.select("src", "dst", parts[0].cast("int").alias("feature"), parts[1].cast("double").alias("sim"))
 
 
 def most_similar(spark, sf):
@@ -264,7 +270,7 @@ def rec_hits(spark, sf):
 
 
 def unseen_items(spark, sf):
-    return covote.unseen(_trained(spark, sf), train(spark, sf))
+    return covote.unseen(_trained(spark, sf), inter(spark, sf))
 
 
 def evaluate_user_cf(spark, sf):
@@ -275,15 +281,21 @@ def evaluate_item_cf(spark, sf):
     return covote.evaluate(covote.recommend_item(train(spark, sf), N, K), held_out(spark, sf))
 
 
+def evaluate_multi_objective(spark, sf):
+    """One feature, the interactions before the split."""
+    return covote.evaluate(covote.recommend_multi_objective([train(spark, sf)], FRONTS, K), held_out(spark, sf))
+
+
 def evaluate_hybrid(spark, sf):
     return covote.evaluate(covote.recommend_hybrid(train(spark, sf), N, K), held_out(spark, sf))
 
 
 def evaluation_report(spark, sf):
-    """The counts of the report line, split again."""
+    """The seven values of the report line, read back as numbers."""
     line = F.split(F.col("value"), ", ")
+    names = ("tp", "fp", "tn", "fn", "precision", "recall", "f1")
     return covote.report(evaluate_user_cf(spark, sf)).select(
-        F.size(line).alias("values"), *[line[i].alias(c) for i, c in enumerate(("tp", "fp", "tn", "fn"))]
+        F.size(line).alias("values"), *[line[i].cast("double").alias(c) for i, c in enumerate(names)]
     )
 
 
@@ -297,12 +309,12 @@ QUERIES = {
         user_neighbours, item_neighbours, user_neighbours_target, item_neighbours_target,
         neighbours_with_ties, event_neighbours_with_ties, user_votes, item_votes,
         rec_user_cf, rec_user_cf_target, rec_user_cf_unseen, rec_user_cf_other_data,
-        rec_item_cf, rec_item_cf_target, rec_hybrid, rec_hybrid_target,
+        rec_item_cf, rec_item_cf_target, rec_item_cf_other_data, rec_hybrid, rec_hybrid_target,
         feature_similarity, feature_text, most_similar, pareto_front, dominated_candidates,
         mo_neighbours_one_feature, mo_neighbours_shared, mo_neighbours_zero,
         mo_neighbours_three_features, neighbour_counts,
         rec_multi_objective, rec_multi_objective_zero, rec_multi_objective_target,
-        rec_hits, unseen_items, evaluate_user_cf, evaluate_item_cf, evaluate_hybrid,
+        rec_hits, unseen_items, evaluate_user_cf, evaluate_item_cf, evaluate_hybrid, evaluate_multi_objective,
         evaluation_report,
     )
 }

@@ -14,7 +14,7 @@ TRAIN = f"train AS ({LINES} WHERE o_orderdate < TIMESTAMP '{SPLIT_DATE}')"
 HELD = f"held AS ({LINES} WHERE o_orderdate >= TIMESTAMP '{SPLIT_DATE}')"
 RETURNED = f"returned AS ({LINES} WHERE l_returnflag = 'R')"
 FULFILLED = f"fulfilled AS ({LINES} WHERE l_linestatus = 'F')"
-EVENTS = 'acts AS (SELECT user_id AS "user", ascii(event_type) AS item FROM events)'
+EVENTS = 'acts AS (SELECT user_id AS "user", event_type AS item FROM events)'
 TARGETS = f"targets AS (SELECT c_custkey FROM customer WHERE c_mktsegment = '{SEGMENT}')"
 
 
@@ -174,7 +174,7 @@ def statements() -> dict[str, str]:
         "sum_values": "SELECT CAST(sum(l_linenumber) AS BIGINT) AS total FROM lineitem",
         "count_containing": f"SELECT count(*) AS lines FROM part WHERE contains(p_name, '{WORD}')",
         "left_outer_interactions": select(
-            'SELECT c_custkey AS "user", coalesce(CAST(item AS VARCHAR), \'none\') AS item FROM customer LEFT JOIN train ON train."user" = c_custkey', TRAIN
+            'SELECT c_custkey AS "user", coalesce(item, \'none\') AS item FROM customer LEFT JOIN acts ON acts."user" = c_custkey', EVENTS
         ),
         "popular_items": select(
             f"SELECT item, count(*) AS votes FROM inter GROUP BY item ORDER BY votes DESC, item LIMIT {K}", INTER
@@ -206,12 +206,13 @@ def statements() -> dict[str, str]:
         "rec_user_cf_other_data": select(RECS, TRAIN, HELD, sims("train"), nbrs(), user_votes("held"), top()),
         "rec_item_cf": select(RECS, INTER, *item_cf),
         "rec_item_cf_target": select(RECS_TARGET, INTER, TARGETS, *item_cf),
+        "rec_item_cf_other_data": select(RECS, TRAIN, HELD, item_sims("train"), nbrs(), item_votes("held"), top()),
         "rec_hybrid": select(RECS, INTER, *hybrid("inter")),
         "rec_hybrid_target": select(RECS_TARGET, INTER, TARGETS, *hybrid("inter")),
         "feature_similarity": select("SELECT src, dst, f0, f1 FROM feats", *feats(2)),
         "feature_text": select(
-            """SELECT src, dst, '0 , ' || CAST(f0 AS DECIMAL(8,6)) AS text FROM feats WHERE f0 IS NOT NULL
-            UNION ALL SELECT src, dst, '1 , ' || CAST(f1 AS DECIMAL(8,6)) FROM feats WHERE f1 IS NOT NULL""",
+            """SELECT src, dst, 0 AS feature, f0 AS sim FROM feats WHERE f0 IS NOT NULL
+            UNION ALL SELECT src, dst, 1, f1 FROM feats WHERE f1 IS NOT NULL""",
             *feats(2),
         ),
         "most_similar": select(
@@ -240,11 +241,14 @@ def statements() -> dict[str, str]:
             'SELECT "user", item FROM recs INTERSECT SELECT "user", item FROM held', *trained
         ),
         "unseen_items": select(
-            'SELECT "user", item FROM recs EXCEPT SELECT "user", item FROM train', *trained
+            'SELECT "user", item FROM recs EXCEPT SELECT "user", item FROM inter', INTER, *trained
         ),
         "evaluate_user_cf": user_evaluation,
         "evaluate_item_cf": evaluation(TRAIN, HELD, item_sims("train"), nbrs(), item_votes("train"), top()),
         "evaluate_hybrid": evaluation(TRAIN, HELD, *hybrid("train")),
-        "evaluation_report": f"""SELECT 7 AS "values", CAST(tp AS VARCHAR) AS tp, CAST(fp AS VARCHAR) AS fp,
-            CAST(tn AS VARCHAR) AS tn, CAST(fn AS VARCHAR) AS fn FROM ({user_evaluation})""",
+        "evaluate_multi_objective": evaluation(
+            TRAIN, HELD, sims("train", "s0"), "feats AS (SELECT src, dst, sim AS f0 FROM s0)",
+            *fronts(1, "shared", FRONTS), user_votes("train", "found"), top(),
+        ),
+        "evaluation_report": f'''SELECT 7 AS "values", tp, fp, tn, fn, "precision", recall, f1 FROM ({user_evaluation})''',
     }

@@ -178,3 +178,9 @@ def test_degrees_beyond_a_bigint_product(spark):
     big = spark.createDataFrame([(4 * 10**9, 9 * 10**9, 10**9)], "n_lo long, n_hi long, common long")
     sim = big.select(cosine(F.col("common"), degree_product("n_lo", "n_hi"))).first()[0]
     assert sim == pytest.approx(1 / 6)
+
+
+def test_text_items_are_taken_whole(spark):
+    """Words of one first letter are different items."""
+    df = spark.createDataFrame([(1, "view"), (2, "vote"), (3, "view")], "user long, item string")
+    assert {(r.src, r.dst) for r in covote.similarity(df, "user", "item").collect()} == {(1, 3), (3, 1)}
