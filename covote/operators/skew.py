@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# At most this many keys are split. It bounds the table that is broadcast to tag
-# their rows; lighter keys beyond it are joined whole, which is still exact.
-MAX_SPLIT_KEYS = 10_000
+# The most frequent keys, so many at most, are broadcast to tag their rows. Every other key has
+# less than one row in so many, so that the rest of the keys to split can be joined by the key.
+MAX_BROADCAST_KEYS = 10_000
 
 
 @dataclass(frozen=True)
@@ -36,27 +36,46 @@ def key_counts(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
 
 
-def heavy_keys(counts: DataFrame, key: str, skew: Skew = DEFAULT_SKEW) -> DataFrame:
-    """The most frequent keys of ``(key, n)``: their place, from 0, and how many slices each needs.
+@dataclass(frozen=True)
+class HeavyKeys:
+    """All keys with more than a block of rows, and how many slices each needs.
 
-    No more than MAX_SPLIT_KEYS rows, so it may be broadcast whatever the input.
+    first: key, place (from 0, by frequency) and splits of MAX_BROADCAST_KEYS of them at most.
+    every: key and splits of all of them, however many there are.
     """
+
+    first: DataFrame
+    every: DataFrame
+
+
+def heavy_keys(counts: DataFrame, key: str, skew: Skew = DEFAULT_SKEW) -> HeavyKeys:
+    """The keys of ``(key, n)`` that are to be split."""
+    over = counts.where(F.col("n") > skew.block)
+    splits = lambda n: F.ceil(n / F.lit(float(skew.block))).cast("long")
     top = (
-        counts.where(F.col("n") > skew.block)
-        .orderBy(F.col("n").desc(), key)
-        .limit(MAX_SPLIT_KEYS)
+        over.orderBy(F.col("n").desc(), key)
+        .limit(MAX_BROADCAST_KEYS)
         .agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("order"), key))).alias("top"))
     )
-    splits = F.ceil(-F.col("top.order") / F.lit(float(skew.block))).cast("long")
-    return top.select(F.posexplode("top").alias("place", "top")).select(
-        F.col(f"top.{key}").alias(key), "place", splits.alias("splits")
+    first = top.select(F.posexplode("top").alias("place", "top")).select(
+        F.col(f"top.{key}").alias(key), "place", splits(-F.col("top.order")).alias("splits")
     )
+    return HeavyKeys(first, over.select(key, splits(F.col("n")).alias("splits")))
+
 
+def tag_heavy(df: DataFrame, key: str, heavy: HeavyKeys) -> DataFrame:
+    """Add ``place`` (NULL but for the first heavy keys) and ``splits`` (1 for keys that are not heavy).
 
-def tag_heavy(df: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
-    """Add ``place`` (NULL for keys that are not heavy) and ``splits`` (1 for these)."""
-    tagged = df.join(F.broadcast(heavy), key, "left")
-    return tagged.withColumn("splits", F.coalesce("splits", F.lit(1).cast("long")))
+    Rows of the first keys have their slices by the broadcast and are dealt evenly in the join
+    that looks up the others, in which no key is frequent.
+    """
+    tagged = df.join(F.broadcast(heavy.first), key, "left")
+    dealt = F.when(F.col("splits").isNull(), 0).otherwise(F.xxhash64(*df.columns))
+    # zero, in words that keep it a join key: Spark would take a literal out of the condition
+    other = heavy.every.select(key, F.col("splits").alias("_splits"), F.pmod(F.xxhash64(key), F.lit(1)).alias("_deal"))
+    tagged = tagged.withColumn("_deal", dealt).join(other, [key, "_deal"], "left")
+    splits = F.coalesce("splits", "_splits", F.lit(1).cast("long"))
+    return tagged.select(*df.columns, "place", splits.alias("splits"))
 
 
 def own_slice(*by: str) -> Column:
@@ -72,7 +91,7 @@ def all_slices() -> Column:
     return F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1))
 
 
-def salted_join(sliced: DataFrame, copied: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
+def salted_join(sliced: DataFrame, copied: DataFrame, key: str, heavy: HeavyKeys) -> DataFrame:
     """Inner join on ``key`` in which a heavy key of ``sliced`` is spread over many tasks.
 
     Every pair of matching rows meets in one slice, so the result is that of the plain join.

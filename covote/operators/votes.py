@@ -9,7 +9,9 @@ from covote.operators.neighbours import check_size
 from covote.operators.similarity import binary_pairs, interaction_counts
 from covote.operators.skew import (
     DEFAULT_SKEW,
+    HeavyKeys,
     Skew,
+    all_slices,
     heavy_keys,
     keep_keys,
     key_counts,
@@ -80,7 +82,7 @@ def top_user_items(
         # they take the place of the items of the first user of the set
         .withColumn("place", F.expr("bit_count((`set` & -`set`) - 1)"))
     )
-    first_users = heavy.where(F.col("place") < bits).select("user", "place")
+    first_users = heavy.first.where(F.col("place") < bits).select("user", "place")
     stand_ins = best.join(F.broadcast(first_users), "place").select(
         "user",
         "item",
@@ -106,15 +108,19 @@ def top_user_items(
     items = ordinary.unionByName(stand_ins)
     by_times = Window.partitionBy("user", "_cell").orderBy(F.col("times").desc(), "item")
     items = items.withColumn("leads", F.row_number().over(by_times) <= k)
-    voters = tag_heavy(
-        neighbours.select(F.col("src").alias("target"), F.col("dst").alias("user")), "user", heavy
-    )
+    chosen = neighbours.select(F.col("src").alias("target"), F.col("dst").alias("user"))
+    voters = tag_heavy(chosen, "user", heavy)
     slices = F.when(is_hot, F.lit(1)).otherwise(F.col("splits"))
     voters = voters.withColumn("set", F.sum(bit).over(Window.partitionBy("target")).cast("int")).select(
         "target", "user", "set", F.explode(F.sequence(zero, slices - 1)).alias("_cell")
     )
+    # A hub, in the lists of very many targets, has these cut into slices as well, and its items
+    # are repeated for each. The windows above hide it from Spark's own skew join.
+    hubs = heavy_keys(key_counts(chosen, "user"), "user", skew)
+    items = tag_heavy(items, "user", hubs).withColumn("_hub_cell", all_slices()).drop("place", "splits")
+    voters = tag_heavy(voters, "user", hubs).withColumn("_hub_cell", own_slice("target")).drop("place", "splits")
     votes = (
-        items.join(voters, ["user", "_cell"])
+        items.join(voters, ["user", "_cell", "_hub_cell"])
         .where(F.col("only_set").isNull() | (F.col("only_set") == F.col("set")))
         .groupBy(F.col("target").alias("user"), "item")
         .agg(
@@ -143,7 +149,7 @@ def item_votes(
     )
 
 
-def _heavy(interactions: DataFrame, key: str, other: str, skew: Skew) -> DataFrame:
+def _heavy(interactions: DataFrame, key: str, other: str, skew: Skew) -> HeavyKeys:
     counts = key_counts(binary_pairs(interactions, key, other), "entity")
     return heavy_keys(counts.withColumnRenamed("entity", key), key, skew)
 

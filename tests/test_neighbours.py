@@ -184,3 +184,43 @@ def test_text_items_are_taken_whole(spark):
     """Words of one first letter are different items."""
     df = spark.createDataFrame([(1, "view"), (2, "vote"), (3, "view")], "user long, item string")
     assert {(r.src, r.dst) for r in covote.similarity(df, "user", "item").collect()} == {(1, 3), (3, 1)}
+
+
+@pytest.mark.parametrize("broadcast", [1, 3])
+def test_more_heavy_keys_than_are_broadcast(spark, monkeypatch, broadcast):
+    """Every key beyond a block is split, also those whose slices come from a join."""
+    from covote.operators import skew
+
+    monkeypatch.setattr(skew, "MAX_BROADCAST_KEYS", broadcast)
+    rows = hot_rows(6, users=50)
+    data = covote.from_rows(spark, rows)
+    small = Skew(block=2, hot_keys=1)
+    pairs = data.distinct()
+    heavy = skew.heavy_keys(skew.key_counts(pairs, "item"), "item", small)
+    assert heavy.first.count() == broadcast
+    members = Counter(i for _, i in set(rows))
+    tagged = skew.tag_heavy(pairs, "item", heavy)
+    got = tagged.withColumn("slice", skew.own_slice("user")).collect()
+    assert sorted((r["user"], r["item"]) for r in got) == sorted(set(rows))
+    assert {r["item"]: r["splits"] for r in got} == {i: max(1, math.ceil(n / 2)) for i, n in members.items()}
+    assert all(0 <= r["slice"] < r["splits"] for r in got)
+
+    by_user = brute_neighbours(brute_similarity(rows, 0), 4)
+    assert lists(covote.user_neighbours(data, 4, skew=small), "src", "dst") == by_user
+    got = {(r["src"], r["dst"]): r["sim"] for r in covote.similarity(data, "item", "user", skew=small).collect()}
+    assert got == brute_similarity(rows, 1)
+
+
+@pytest.mark.parametrize("skew", SKEWS, ids=str)
+def test_one_neighbour_of_all(spark, skew):
+    """A user in the list of everybody is joined in slices of its targets."""
+    from covote.operators.votes import top_user_items
+
+    rows = [(0, i) for i in range(12)] + [(1, 3), (1, 3), (1, 20), (2, 20)]
+    near = [(t, 0) for t in range(100, 140)] + [(t, 1) for t in range(100, 140, 3)] + [(100, 2)]
+    votes = defaultdict(Counter)
+    for t, v in near:
+        votes[t].update(i for u, i in rows if u == v)
+    neighbours = spark.createDataFrame(near, "src long, dst long")
+    got = top_user_items(neighbours, covote.from_rows(spark, rows), 3, skew=skew)
+    assert lists(got, "user", "item", "votes") == brute_top(votes, 3)
