@@ -127,7 +127,8 @@ def candidates(reps: DataFrame, shared: int = SHARED, similarity: float = SIMILA
 
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, size: int = SIZE) -> DataFrame:
     """``a, b, similarity`` of the pairs that the alignment confirms. ``docs``: ``rep, text``."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    # the ids grow with the corpus, so they are never broadcast, however small a table may be
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().hint("merge")
     texts = kept(docs.join(ids, "rep", "left_semi").dropDuplicates(["rep"]), "near-texts")
     rows = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("t_a")), "a").join(
         texts.select(F.col("rep").alias("b"), F.col("text").alias("t_b")), "b"
