@@ -3,8 +3,9 @@
 A sketch takes the two shingles of least hash, with equal shingles of a text told apart by their
 occurrence, and keeps them in text order, so it is sensitive to edits and to order. Documents that
 share a sketch are compared with the least document of that sketch, and again of each run of two
-and of four sketches, never pair by pair; a pair that shares enough sketches is verified by a banded
-alignment of the shingles. Links are closed to classes.
+and of four sketches. What this does not bring into one class is then compared pair by pair: the
+documents of different classes that share enough sketches. A pair that shares enough sketches is
+verified by a banded alignment of the shingles. Links are closed to classes.
 
 Texts are compared as lower-case words between white space; a shingle is a run of five words.
 Equal texts are one representative before anything else, so copies cost nothing.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -27,6 +29,7 @@ SIMILARITY = 0.8
 SKETCHES = 16  # two documents of similarity 0.8 share about ten of them
 SHARED = 4  # of which at least so many make a pair worth verifying: missed with chance 0.0005
 DEPTHS = (1, 2, 4)  # sketches in a row that documents meet on
+SLICE = 256  # members of a key that meet in one cell
 
 
 def coded(text: str, cache: WordCodes) -> np.ndarray:
@@ -125,6 +128,49 @@ def candidates(reps: DataFrame, shared: int = SHARED, similarity: float = SIMILA
     )
 
 
+def covering(shared: int = SHARED, sketches: int = SKETCHES) -> list[tuple[int, ...]]:
+    """Pairs of sketches of which any two documents with ``shared`` equal sketches have one in common.
+
+    The sketches are dealt to ``shared`` - 1 hands, so two of the equal ones are in the same hand.
+    """
+    if shared < 2:
+        return [(i,) for i in range(sketches)]
+    return [p for k in range(shared - 1) for p in combinations(range(k, sketches, shared - 1), 2)]
+
+
+def unlinked(
+    reps: DataFrame, roots: DataFrame, shared: int = SHARED, similarity: float = SIMILARITY, part: int = SLICE
+) -> DataFrame:
+    """All pairs ``a > b`` worth verifying that are not in one class of ``roots`` yet.
+
+    The members of a key are cut into slices, and any two slices meet in a cell of their own, so no
+    task gets a whole key; keys whose members are of one class are left out.
+    """
+    s = F.col("sketch")
+    keys = [F.xxhash64(F.lit(k), *[s[i] for i in at]) for k, at in enumerate(covering(shared))]
+    rows = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    rows = kept(rows.select("rep", "n", "sketch", F.coalesce("root", "rep").alias("root")), "rooted")
+    keyed = rows.select(F.explode(F.array(keys)).alias("key"), "rep", "root")
+    open_ = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("x"), F.max("root").alias("y"))
+    open_ = open_.where("x < y").select("key", F.ceil(F.col("m") / part).cast("int").alias("slices"))
+    placed = keyed.join(open_, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int"))
+    placed = kept(placed.select("key", "rep", "slices", "own"), "open-keys")
+    other = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
+    celled = placed.select("key", "rep", "own", other.alias("other")).select(
+        "key", "rep", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v")
+    )
+    wide = rows.select("rep", "root", "n", *[s[i].alias(f"s{i}") for i in range(SKETCHES)])
+    celled = celled.join(wide, "rep").hint("merge")
+    left = celled.select("key", "u", "v", *[F.col(c).alias(f"a_{c}") for c in wide.columns])
+    right = celled.select("key", "u", "v", *[F.col(c).alias(f"b_{c}") for c in wide.columns])
+    agree = sum((F.col(f"a_s{i}") == F.col(f"b_s{i}")).cast("int") for i in range(SKETCHES))
+    near = (F.col("a_rep") > F.col("b_rep")) & (F.col("a_root") != F.col("b_root")) & (agree >= shared)
+    alike = F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n")
+    on = [left[c] == right[c] for c in ("key", "u", "v")]
+    pairs = left.join(right, [*on, near, alike])
+    return pairs.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct()
+
+
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, size: int = SIZE) -> DataFrame:
     """``a, b, similarity`` of the pairs that the alignment confirms. ``docs``: ``rep, text``."""
     # the ids grow with the corpus, so they are never broadcast, however small a table may be
@@ -166,14 +212,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     reps = known.where("rep IS NOT NULL").select("rep", "n", "sketch").dropDuplicates(["rep"])
     pairs = kept(candidates(reps, similarity=similarity), "candidates")
     by_id = docs.select(F.col("doc_id").alias("rep"), "text").where("rep IS NOT NULL")
-    links = verified(pairs, by_id, similarity, size)
+    links = kept(verified(pairs, by_id, similarity, size).select("a", "b"), "links")
+    more = kept(unlinked(reps, components(links, "first-classes"), similarity=similarity), "unlinked")
+    links = links.unionByName(verified(more, by_id, similarity, size).select("a", "b"))
     # a doc_id that stands for several texts ties them together
     same_id = rows.where("n > 0").join(known.select("h", "rep"), "h").where("doc_id != rep").select(
         F.col("doc_id").alias("a"), F.col("rep").alias("b")
     )
     several = rows.where("n > 0").groupBy("doc_id").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x != y")
     tied = same_id.join(several.select(F.col("doc_id").alias("a")), "a", "left_semi")
-    roots = components(links.select("a", "b").unionByName(tied), "classes")
+    roots = components(links.unionByName(tied), "classes")
     return (
         rows.select("doc_id", "h", "n")
         .join(known.select("h", "rep", "copies"), "h", "left")

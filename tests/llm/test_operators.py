@@ -1,6 +1,7 @@
 """The training-data operators against plain Python, on small tables made here."""
 
 import hashlib
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -199,6 +200,37 @@ def test_near_duplicates(spark):
     assert minhash.aligned(a, b, 0.5) == pytest.approx(3 / 5) and minhash.aligned(a, a[::-1].copy()) == 0
 
 
+def test_near_duplicates_of_a_template(spark):
+    r = random.Random(8)
+    template = [f"w{r.randrange(5000)}" for _ in range(300)]
+    texts = []
+    for k in range(300):  # alike to less than 0.8, and each third has a copy that is nearer
+        own = list(template)
+        for at in r.sample(range(300), 8):
+            own[at] = f"own{k}x{at}"
+        texts.append(own)
+        if k % 3 == 0:
+            copy = list(own)
+            for at in r.sample(range(300), 4):
+                copy[at] = f"new{k}x{at}"
+            texts.append(copy)
+    r.shuffle(texts)
+    found = [minhash.labelled(" ".join(t), WordCodes()) for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if minhash.aligned(found[a], found[b]) >= minhash.SIMILARITY:
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    got = {x.doc_id: x.class_id for x in minhash.near_duplicates(docs(spark, [" ".join(t) for t in texts])).collect()}
+    assert len(set(root)) == 300 and got == dict(enumerate(root))
+
+
+def test_covering_keys():
+    keys = [set(k) for k in minhash.covering(4, 16)]
+    assert all(any(k <= set(four) for k in keys) for four in itertools.combinations(range(16), 4))
+
+
 def test_passages(spark):
     shared = prose(77, 80, 5000)
     texts = [prose(k, 90, 5000) for k in range(12)]
