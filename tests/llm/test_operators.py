@@ -243,6 +243,20 @@ def test_passages(spark):
     assert all(cut[k] == texts[k] for k in range(12) if k not in (5, 9))
 
 
+def test_passages_with_words_put_in_or_left_out(spark):
+    texts, spans = [prose(k, 90, 5000) for k in range(40)], {}
+    for k in range(20):
+        n = 56 + 2 * k
+        shared = prose(500 + k, n, 5000).split()
+        edited = [*shared[: n // 2], "put", *shared[n // 2 :]] if k % 2 else [*shared[: n // 2], *shared[n // 2 + 1 :]]
+        texts[k] += " " + " ".join(shared) + " " + prose(600 + k, 30, 5000)
+        texts[20 + k] += " " + " ".join(edited) + " " + prose(700 + k, 30, 5000)
+        spans[20 + k] = (90, len(edited), k)
+    found = passages.repeated(docs(spark, texts)).collect()
+    assert {r.doc_id: (r.start, r.n_words, r.src) for r in found} == spans and len(found) == 20
+    assert all(0.8 <= r.similarity < 1 for r in found)
+
+
 def test_compact_windows_cover_every_stretch():
     r = np.random.default_rng(2)
     for h in (r.integers(0, 50, 60).astype(np.uint64), np.zeros(200, np.uint64)):
