@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covote.llm import ann, bpe, html, lmscore, minhash, packing, passages, pii, rules, toxicity
+from covote.llm import ann, bpe, html, lmscore, manifest, minhash, mixing, packing, passages, pii, rules, sql, toxicity, whitening
 from covote.llm.common import table
 
 
@@ -63,5 +63,26 @@ def op10_ann(spark: SparkSession, sf: str) -> DataFrame:
     return ann.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_bpe, op4_lmscore, op5_rules, op6_html, op7_passages, op8_minhash, op9_packing, op10_ann)}
-ORACLE_SQL: dict[str, str] = {}
+def op11_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    found = mixing.planned(table(spark, sf, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    # where the checksum of the id says so, the letters A-Z of the text have been tampered with
+    text = F.when(fold(3) == 0, manifest.lower_ascii("text")).otherwise(F.col("text"))
+    return manifest.verified(table(spark, sf, "documents"), {"text": text})
+
+
+def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_pii, op2_toxicity, op3_bpe, op4_lmscore, op5_rules, op6_html, op7_passages, op8_minhash, op9_packing,
+        op10_ann, op11_mixing, op12_manifest, op13_whitening,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op11_mixing": sql.mixing(), "op12_manifest": sql.manifest()}
