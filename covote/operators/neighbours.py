@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from covote.functions.columns import cosine, degree_product
-from covote.operators.similarity import CELL, binary_pairs, both_directions, in_cells, meet
+from covote.operators.lineage import stored
+from covote.operators.similarity import binary_pairs, both_directions
 from covote.operators.skew import (
     DEFAULT_SKEW,
     Skew,
     heavy_keys,
     keep_keys,
     key_counts,
+    listed,
+    narrowed,
     salted_join,
     tag_heavy,
 )
@@ -58,56 +61,44 @@ def top_neighbours(
 ) -> DataFrame:
     """``neighbours(similarity(df, entity, basis), n)`` without building the whole matrix.
 
-    Two facts keep it small, and both drop only what cannot be in a list of n, because at
-    least n others stand before it: by a higher similarity or, without ``ties``, a lower id.
+    Two sizes are measured by jobs of their own before the plan is made: how many basis keys the targets
+    have, and how many members the most popular key has.
 
-    *Hot keys.* Pairing all members of a basis key costs the square of its popularity, so
-    the few most popular keys stay out of the self-join. Entities that meet on such keys
-    alone form classes of equal similarity (same hot keys, same degree), and of a class only
-    the first ids can be in a list. They are added as candidates, and every pair gets its
-    full overlap, hot and ordinary.
+    *Targets.* Few keys restrict the other side of the join to the rows of these keys, and few
+    entities met there restrict the rows whose degrees are counted. Each list goes along only while it
+    is short (``skew.LISTED``); beyond that the whole side is taken, with the same result.
 
-    *Single meetings.* Of those an entity meets on one key only, just the n + 1 members of
-    this key with the lowest degree can be in its list; the rest is dropped before ranking.
+    *Popular keys.* Pairing all members of a basis key costs the square of its popularity. Keys of at
+    most ``skew.wide`` members are paired, which is linear in the rows. The others are an inverted index
+    that is probed for each class of entities with the same wide keys (see ``_wide_candidates``).
     """
     check_size("n", n)
-    pairs = binary_pairs(df, entity, basis)
-    heavy = heavy_keys(key_counts(pairs, "basis"), "basis", skew)
-    tagged = tag_heavy(pairs, "basis", heavy)
-    is_hot = F.coalesce(F.col("place") < skew.hot_keys, F.lit(False))
-    profile = tagged.groupBy("entity").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(is_hot, F.expr("shiftleft(1L, place)")).otherwise(0)).alias("sig"),
-    )
-    profiled = tagged.where(~is_hot).join(profile, "entity")
-
-    lo = in_cells(keep_keys(profiled, "entity", targets), "lo")
-    lo = lo.withColumn("near_lo", _place(CELL, "n_lo", "lo", ties) <= n + 1)
-    hi = in_cells(profiled, "hi")
-    hi = hi.withColumn("near_hi", _place(CELL, "n_hi", "hi", ties) <= n + 1)
-    shared_hot = F.bit_count(F.col("sig_lo").bitwiseAND(F.col("sig_hi"))).cast("long")
-    met = meet(lo, hi, targets).select(
-        "lo",
-        "hi",
-        degree_product("n_lo", "n_hi").alias("nn"),
-        shared_hot.alias("hot"),
-        # whether lo may be in the list of hi, and hi in that of lo, if this is all they share
-        (F.col("near_lo").cast("int") + 2 * F.col("near_hi").cast("int")).alias("near"),
-        F.lit(1).alias("seen"),
-    )
-    met = met.unionByName(_hot_candidates(profile, n, ties, targets, skew))
+    mine, others = df, df
+    if targets is not None:
+        targets = listed(df.sparkSession, targets)
+        mine = keep_keys(df, entity, targets)
+        others = narrowed(df, basis, mine)
+    lo = binary_pairs(mine, entity, basis)
+    hi = binary_pairs(others, entity, basis)
+    met = narrowed(df, entity, others) if others is not df else df
+    degree = key_counts(binary_pairs(met, entity, basis), "entity")
+    widest = key_counts(hi, "basis").agg(F.max("n")).first()[0] or 0
+    if widest > skew.wide:
+        return _bounded(lo, hi, degree, n, ties, targets is not None, skew)
 
-    found = (
-        met.groupBy("lo", "hi", "nn")
-        .agg(F.sum("seen").alias("cold"), F.max("hot").alias("hot"), F.max("near").alias("near"))
-        .withColumn("common", F.col("cold") + F.col("hot"))
-    )
-    found = found.select(
-        "lo",
-        "hi",
-        cosine(F.col("common"), F.col("nn")).alias("sim"),
-        F.when(F.col("common") > 1, F.lit(3)).otherwise(F.col("near")).alias("near"),
-    ).where(F.col("near") > 0)
+    # Of those an entity meets on one key only, just the n + 1 members of this key with the lowest
+    # degree can be in its list; the rest is dropped before ranking.
+    first = _sided(hi.join(degree, "entity"), "hi")
+    first = first.withColumn("near_hi", _place(["basis"], "n_hi", "hi", ties) <= n + 1)
+    if targets is None:
+        second = first.withColumnsRenamed({"hi": "lo", "n_hi": "n_lo", "near_hi": "near_lo"})
+    else:
+        second = _sided(lo.join(degree, "entity"), "lo").withColumn("near_lo", F.lit(False))
+    found = _meetings(second, first, targets is not None, F.col("near_lo").cast("int") + 2 * F.col("near_hi").cast("int"))
+    found = found.groupBy("lo", "hi", "nn").agg(F.count(F.lit(1)).alias("common"), F.max("near").alias("near"))
+    # whether lo may be in the list of hi, and hi in that of lo, if one key is all they share
+    near = F.when(F.col("common") > 1, F.lit(3)).otherwise(F.col("near"))
+    found = found.select("lo", "hi", cosine(F.col("common"), F.col("nn")).alias("sim"), near.alias("near")).where("near > 0")
     if targets is None:
         found = both_directions(found)
         near = F.when(F.col("src") < F.col("dst"), F.col("near") >= 2).otherwise(F.col("near") % 2 == 1)
@@ -117,49 +108,177 @@ def top_neighbours(
     return neighbours(found.where(near), n, ties=ties)
 
 
-def _hot_candidates(profile: DataFrame, n: int, ties: bool, targets, skew: Skew) -> DataFrame:
-    """The first n + 1 entities, or with ties places, that each entity may meet on hot keys alone.
+def _sided(profiled: DataFrame, role: str) -> DataFrame:
+    """One side of the join on ``basis``, with every other column named for its role."""
+    rest = [c for c in profiled.columns if c not in ("basis", "entity")]
+    return profiled.select("basis", F.col("entity").alias(role), *[F.col(c).alias(f"{c}_{role}") for c in rest])
+
+
+def _meetings(lo: DataFrame, hi: DataFrame, directed: bool, near: Column) -> DataFrame:
+    wanted = F.col("lo") != F.col("hi") if directed else F.col("lo") < F.col("hi")
+    return lo.join(hi, "basis").where(wanted).select("lo", "hi", degree_product("n_lo", "n_hi").alias("nn"), near.alias("near"))
+
 
-    One more than n, because an entity may stand in its own list. The tables by signature
-    have at most 2 ** hot_keys groups, whatever the number of entities.
+# Keys with very many members
+
+CLASS = ["w", "c0", "c1"]  # number of wide keys of an entity, and a 128-bit code of which these are
+
+
+def _strength(overlap: str, degree: str) -> Column:
+    """The square of the similarity times the degree of the one who searches: it orders its list."""
+    return (F.col(overlap) * F.col(overlap)).cast("double") / F.col(degree).cast("double")
+
+
+def _bounded(lo: DataFrame, hi: DataFrame, degree: DataFrame, n: int, ties: bool, directed: bool, skew: Skew) -> DataFrame:
+    """The lists where some keys have more than ``skew.wide`` members.
+
+    What is used more than once is kept in the shared folder.
     """
-    on_hot = profile.where(F.col("sig") != 0)
-    short = (
-        on_hot.withColumn("place", _place(["sig"], "n", "entity", ties))
-        .where(F.col("place") <= n + 1)
-        .select(F.col("entity").alias("dst"), F.col("n").alias("n_dst"), F.col("sig").alias("sig_dst"))
+    heavy = heavy_keys(key_counts(hi, "basis"), "basis", Skew(block=skew.wide))
+    hi = stored(tag_heavy(hi, "basis", heavy).select("entity", "basis", "splits"), "pairs")
+    lo = tag_heavy(lo, "basis", heavy).select("entity", "basis", "splits") if directed else hi
+    is_wide = F.col("splits") > 1
+    code = lambda seed: F.expr(f"coalesce(bit_xor(if(splits > 1, xxhash64(basis, {seed}), NULL)), 0L)")
+    classes = hi.groupBy("entity").agg(F.count_if(is_wide).alias("w"), code(0).alias("c0"), code(1).alias("c1"))
+    profile = stored(degree.join(classes, "entity"), "profile")
+    if directed:
+        # a target's own keys are all on the other side too, so that its class is complete there
+        searchers = stored(lo.select("entity").distinct().join(profile, "entity"), "searchers")
+    else:
+        searchers = profile
+    best, overlaps, bound = _wide_candidates(profile, searchers, hi.where(is_wide), n, ties, skew)
+
+    # those who share a key of few members, from both sides
+    light = ~is_wide
+    first = _sided(hi.where(light).join(profile, "entity"), "hi")
+    second = _sided(lo.where(light).join(searchers, "entity"), "lo")
+    columns = [f"{c}_{role}" for role in ("lo", "hi") for c in ("n", *CLASS)]
+    met = (
+        second.join(first, "basis")
+        .where(F.col("lo") != F.col("hi") if directed else F.col("lo") < F.col("hi"))
+        .groupBy("lo", "hi", *columns)
+        .agg(F.count(F.lit(1)).alias("cold"))
     )
+    if not directed:
+        role = {"lo": "hi", "hi": "lo"}
+        turned = [F.col(c[:-2] + role[c[-2:]]).alias(c) for c in ("lo", "hi", *columns)]
+        met = met.unionByName(met.select(*turned, "cold"))
+    return _ranked(met, best, overlaps(met, bound), searchers, n, ties, skew)
 
-    def by_bit(df, sig):
-        bits = f"filter(sequence(0, {max(skew.hot_keys - 1, 0)}), b -> ({sig} & shiftleft(1L, b)) != 0)"
-        return df.withColumn("bit", F.explode(F.expr(bits)))
 
-    shared = (
-        by_bit(on_hot.select(F.col("sig").alias("sig_src")).distinct(), "sig_src")
-        .join(by_bit(short, "sig_dst"), "bit")
-        .groupBy("sig_src", "dst", "n_dst")
-        .agg(F.count(F.lit(1)).alias("hot"))
-    )
-    strength = (F.col("hot") * F.col("hot")).cast("double") / F.col("n_dst").cast("double")
-    best = (
-        shared.withColumn("place", _place(["sig_src"], strength.desc(), "dst", ties))
-        .where(F.col("place") <= n + 1)
-        .select("sig_src", "dst", "n_dst", "hot")
-    )
-    src = keep_keys(on_hot, "entity", targets).select(
-        F.col("entity").alias("src"), F.col("n").alias("n_src"), F.col("sig").alias("sig_src")
+def _wide_candidates(profile: DataFrame, searchers: DataFrame, wide: DataFrame, n: int, ties: bool, skew: Skew):
+    """Whom each entity may meet on wide keys alone, without pairing the members of a wide key.
+
+    Entities with the same wide keys are a class. They have the same candidates in the same order, and of
+    each class only the first n + 1 by degree and id can be in a list (one more than n, because an
+    entity may stand in its own). So classes search for classes.
+
+    *Bound.* The n + 1 of lowest degree of each key that a class has, and its own first members, give
+    the class n + 1 candidates of known strength; weaker ones need not be found.
+
+    *Probes.* The keys of a class are in order of their popularity, rarest first. Two classes that meet
+    first on a key share at most as many keys as are left of the shorter one from there, r. A candidate of degree d
+    is at least as strong as the bound t only if r^2 / d >= t. So a class stops probing where the keys it has
+    left are too few for any degree, and elsewhere visits only the stretches of the index (by the
+    binary logarithm of the degree) from t to r^2 / t.
+    """
+    members = profile.where("w > 0")
+    by = F.struct("n", "entity")
+    ranked = members.withColumn("place", _place(CLASS, "n", "entity", ties)).where(F.col("place") <= n + 1)
+    reps = ranked.select(*CLASS, F.col("entity").alias("dst"), F.col("n").alias("n_dst"))
+    heads = members.groupBy(*CLASS).agg(F.min(by).alias("head"))
+    heads = stored(heads.select(*CLASS, F.col("head.entity").alias("head"), F.col("head.n").alias("n_head")), "classes")
+
+    order = Window.partitionBy("head").orderBy("splits", "basis")
+    keys = wide.join(heads.withColumn("entity", F.col("head")), "entity").select("head", "basis", "splits", "w", "n_head")
+    keys = stored(keys.withColumn("left", F.col("w") - F.row_number().over(order) + 1).drop("splits"), "class-keys")
+    asking = searchers.where("w > 0").select(*CLASS).distinct().join(heads, CLASS).select("head")
+    probes = keys.join(asking, "head", "left_semi").select(F.col("head").alias("src"), "basis", "left")
+
+    # the bound of each class: its (n + 1)-th best of those known at once
+    near = keys.withColumn("place", _place(["basis"], "n_head", "head", False)).where(F.col("place") <= n + 1)
+    listed_ = probes.join(near.select("basis", F.col("head").alias("cls"), F.col("n_head").alias("n_dst")), "basis")
+    known = listed_.groupBy("src", "cls", "n_dst").agg(F.count(F.lit(1)).alias("c")).withColumn("dst", F.col("cls"))
+    own = reps.join(heads, CLASS).join(asking, "head", "left_semi")
+    own = own.select(F.col("head").alias("src"), F.col("head").alias("cls"), "n_dst", F.col("w").alias("c"), "dst")
+    known = stored(known.where("src != cls").unionByName(own), "known")
+    known = known.withColumn("t", _strength("c", "n_dst"))
+    nth = Window.partitionBy("src").orderBy(F.col("t").desc(), "dst")
+    bound = known.withColumn("place", F.row_number().over(nth)).where(F.col("place") == n + 1)
+    bound = stored(bound.select("src", "t", F.col("dst").alias("t_dst")), "bounds")
+
+    bucket = lambda x: F.floor(F.log2(F.greatest(x, F.lit(1.0)))).cast("int")
+    most = (F.col("left") * F.col("left")).cast("double")
+    bounded = probes.join(bound, "src", "left").withColumn("t", F.coalesce("t", F.lit(0.0)))
+    # of rounding a little is let through: what is found is compared exactly afterwards
+    last = F.when(F.col("t") > 0, F.least(bucket(most / F.col("t") * (1 + 1e-9)), F.lit(63))).otherwise(F.lit(63))
+    bounded = bounded.where(most >= F.col("t") * (1 - 1e-9))
+    visited = F.sequence(bucket(F.col("t") * (1 - 1e-9)), F.greatest(last, bucket(F.col("t"))))
+    stretches = bounded.select("src", "basis", "left", "t", "t_dst", F.explode(visited).alias("bucket"))
+    index = keys.select(
+        "basis",
+        F.col("head").alias("cls"),
+        F.col("n_head").alias("n_dst"),
+        F.col("left").alias("left_dst"),
+        bucket(F.col("n_head").cast("double")).alias("bucket"),
     )
-    if not ties and (n + 1) << skew.hot_keys <= 100_000:  # the most rows ``best`` can have
-        found = src.join(F.broadcast(best), "sig_src")
-    else:
-        heavy = heavy_keys(key_counts(src, "sig_src"), "sig_src", skew)
-        found = salted_join(src, best, "sig_src", heavy)
-    swap = (F.col("src") > F.col("dst")) if targets is None else F.lit(False)
-    return found.where(F.col("src") != F.col("dst")).select(
-        F.when(swap, F.col("dst")).otherwise(F.col("src")).alias("lo"),
-        F.when(swap, F.col("src")).otherwise(F.col("dst")).alias("hi"),
-        degree_product("n_src", "n_dst").alias("nn"),
-        "hot",
-        F.lit(3).alias("near"),
-        F.lit(0).alias("seen"),
+    place = ["basis", "bucket"]
+    slot = lambda df: df.withColumn("slot", F.struct(*place))
+    hot = heavy_keys(key_counts(slot(index), "slot"), "slot", skew)
+    probed = salted_join(slot(index).drop(*place), slot(stretches).drop(*place), "slot", hot)
+    r = F.least("left", "left_dst")
+    best_case = (r * r).cast("double") / F.col("n_dst").cast("double")
+    hit = best_case > F.col("t")
+    # as strong as the bound at best: in a list without ties it must also come before it
+    hit = hit | ((best_case == F.col("t")) & (F.lit(True) if ties else F.col("cls") <= F.coalesce("t_dst", "cls")))
+    pairs = probed.where(hit).select("src", "cls").union(known.select("src", "cls")).distinct()
+
+    def overlap_of(classes: DataFrame) -> DataFrame:
+        """``src, cls, c``: how many wide keys both classes have."""
+        mine = classes.join(keys.select(F.col("head").alias("src"), "basis"), "src")
+        both = mine.join(keys.select(F.col("head").alias("cls"), "basis"), ["cls", "basis"])
+        return both.groupBy("src", "cls").agg(F.count(F.lit(1)).alias("c"))
+
+    reps_of = reps.join(heads, CLASS).select(F.col("head").alias("cls"), "dst", "n_dst")
+    strong = overlap_of(pairs).join(reps_of, "cls").withColumn("t", _strength("c", "n_dst"))
+    best = strong.withColumn("place", _place(["src"], F.col("t").desc(), "dst", ties)).where(F.col("place") <= n + 1)
+    best = stored(best.join(heads.select(F.col("head").alias("src"), *CLASS), "src").select(*CLASS, "dst", "n_dst", "c"), "candidates")
+    bound = bound.join(heads.select(F.col("head").alias("src"), *CLASS), "src").select(*CLASS, "t")
+
+    def overlaps(met: DataFrame, bound: DataFrame) -> DataFrame:
+        """``met``, of pairs that may be strong enough, with ``common``: all keys that they share."""
+        named = {c: f"{c}_lo" for c in CLASS}
+        limit = bound.withColumnsRenamed(named)
+        both = F.least("w_lo", "w_hi")
+        hopeful = met.join(limit, [f"{c}_lo" for c in CLASS], "left")
+        at_most = F.col("cold") + both
+        strongest = (at_most * at_most).cast("double") / F.col("n_hi")
+        hopeful = stored(hopeful.where((both == 0) | F.col("t").isNull() | (strongest >= F.col("t"))), "met")
+        both_wide = hopeful.where(both > 0)
+        for role, name in (("lo", "src"), ("hi", "cls")):
+            named = [f"{c}_{role}" for c in CLASS]
+            both_wide = both_wide.join(heads.select(*[F.col(c).alias(x) for c, x in zip(CLASS, named)], F.col("head").alias(name)), named)
+        counted = overlap_of(both_wide.select("src", "cls").distinct())
+        shared = both_wide.join(counted, ["src", "cls"], "left")
+        columns = ["lo", "hi", "n_lo", "n_hi"]
+        return (
+            hopeful.where(both == 0)
+            .select(*columns, F.col("cold").alias("common"))
+            .unionByName(shared.select(*columns, (F.col("cold") + F.coalesce("c", F.lit(0))).alias("common")))
+        )
+
+    return best, overlaps, bound
+
+
+def _ranked(met: DataFrame, best: DataFrame, shared: DataFrame, searchers: DataFrame, n: int, ties: bool, skew: Skew) -> DataFrame:
+    """The lists from those met on light keys, with all they share, and the candidates of each class."""
+    key = F.struct(*CLASS)
+    src = searchers.where("w > 0").select(F.col("entity").alias("lo"), F.col("n").alias("n_lo"), key.alias("class"))
+    dst = best.select(key.alias("class"), F.col("dst").alias("hi"), F.col("n_dst").alias("n_hi"), F.col("c").alias("common"))
+    found = salted_join(src, dst, "class", heavy_keys(key_counts(src, "class"), "class", skew))
+    found = found.where("lo != hi").select("lo", "hi", "n_lo", "n_hi", "common")
+    found = shared.unionByName(found).groupBy("lo", "hi", "n_lo", "n_hi").agg(F.max("common").alias("common"))
+    sims = found.select(
+        F.col("lo").alias("src"), F.col("hi").alias("dst"), cosine(F.col("common"), degree_product("n_lo", "n_hi")).alias("sim")
     )
+    return neighbours(sims, n, ties=ties)

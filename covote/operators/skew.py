@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The most frequent keys, so many at most, are broadcast to tag their rows. Every other key has
@@ -17,16 +17,16 @@ class Skew:
     """How hot keys are handled. Results never depend on these values, only balance does.
 
     block: rows of one key that one join cell may hold on either side.
-    hot_keys: how many of the most popular basis keys the neighbour search summarises
-        by class instead of pairing their members (see ``neighbours.top_neighbours``).
+    wide: members up to which the neighbour search pairs all of a basis key; those with more
+        are searched by classes and bounds (see ``neighbours.top_neighbours``).
     """
 
     block: int = 8192
-    hot_keys: int = 8
+    wide: int = 512
 
     def __post_init__(self):
-        if self.block < 1 or not 0 <= self.hot_keys <= 16:
-            raise ValueError("block must be at least 1 and hot_keys between 0 and 16")
+        if self.block < 1 or self.wide < 1:
+            raise ValueError("block and wide must be at least 1")
 
 
 DEFAULT_SKEW = Skew()
@@ -104,15 +104,57 @@ def salted_join(sliced: DataFrame, copied: DataFrame, key: str, heavy: HeavyKeys
     return left.join(right, [key, "_cell"]).drop("_cell")
 
 
+LISTED = 10_000  # ids that may go along with a plan
+LITERAL = 1_000  # of these, how many are written into a filter
+
+
+def listed(spark: SparkSession, keys):
+    """The distinct ids of ``keys`` if there are at most ``LISTED``, otherwise ``keys``; a list stays one.
+
+    A job of its own; no more than that many rows come to the driver.
+    """
+    if not isinstance(keys, DataFrame):
+        return sorted({int(k) for k in keys})
+    found = _few(keys.select(F.col(keys.columns[0]).cast("long").alias("key")))
+    return keys if found is None else found
+
+
+def _few(keys: DataFrame) -> list | None:
+    rows = keys.where("key IS NOT NULL").distinct().limit(LISTED + 1).collect()
+    return sorted(r[0] for r in rows) if len(rows) <= LISTED else None
+
+
+def narrowed(df: DataFrame, column: str, other: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``column`` has a value that it has in ``other`` too, if these values are few.
+
+    Otherwise ``df`` as it is: the rest of the rows must not matter to the result.
+    """
+    kind = dict(df.dtypes)[column]
+    as_is = F.col(column) if kind == "string" else F.col(column).cast("long")
+    found = _few(other.select(as_is.alias("key")))
+    return df if found is None else _among(df, column, found)
+
+
+def _among(df: DataFrame, key: str, ids: list) -> DataFrame:
+    if len(ids) <= LITERAL:
+        return df.where(F.col(key).isin(ids))
+    kind = "string" if isinstance(ids[0], str) else "long"
+    wanted = df.sparkSession.createDataFrame([(i,) for i in ids], f"_key {kind}")
+    return df.join(F.broadcast(wanted), F.col(key).cast(kind) == F.col("_key"), "left_semi")
+
+
 def keep_keys(df: DataFrame, key: str, keys) -> DataFrame:
-    """Rows whose ``key`` is wanted: all (None), a few literal ids, or a one-column DataFrame.
+    """Rows whose ``key`` is wanted: all (None), a list of ids, or a one-column DataFrame.
 
-    Literal ids become a filter that reaches the scan; a DataFrame becomes a semi-join,
-    broadcast or split at run time by its measured size.
+    A few ids become a filter that reaches the scan, up to ``LISTED`` a broadcast; a longer list or a DataFrame becomes a
+    semi-join, broadcast or split at run time by its measured size.
     """
     if keys is None:
         return df
-    if isinstance(keys, DataFrame):
-        wanted = keys.select(F.col(keys.columns[0]).cast("long").alias(key))
-        return df.join(wanted, key, "left_semi")
-    return df.where(F.col(key).isin([int(k) for k in keys]))
+    if not isinstance(keys, DataFrame):
+        ids = sorted({int(k) for k in keys})
+        if len(ids) <= LISTED:
+            return _among(df, key, ids)
+        keys = df.sparkSession.createDataFrame([(i,) for i in ids], "key long")
+    wanted = keys.select(F.col(keys.columns[0]).cast("long").alias("_key"))
+    return df.join(wanted, F.col(key).cast("long") == F.col("_key"), "left_semi")

@@ -53,7 +53,7 @@ def top_user_items(
     the items its other neighbours have. Any item left out stands behind those k.
     """
     check_size("k", k)
-    bits = min(skew.hot_keys, MAX_HEAVY_VOTERS)
+    bits = MAX_HEAVY_VOTERS
     counted = interaction_counts(interactions)
     heavy = _heavy(interactions, "user", "item", skew)
     tagged = tag_heavy(counted, "user", heavy)

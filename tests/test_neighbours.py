@@ -10,7 +10,7 @@ import covote
 from covote import Skew
 
 # every way to treat hot keys, down to splitting and summarising almost all of them
-SKEWS = [Skew(), Skew(block=3, hot_keys=0), Skew(block=3, hot_keys=3), Skew(block=2, hot_keys=8)]
+SKEWS = [Skew(), Skew(block=3, wide=1), Skew(block=3, wide=5), Skew(block=2, wide=20)]
 
 
 def hot_rows(seed, users=90):
@@ -87,7 +87,7 @@ def test_hot_keys_do_not_change_results(spark, skew):
 def test_long_lists_from_hot_classes(spark):
     """All users meet on one item alone: every list is a tie, broken by id."""
     data = covote.from_rows(spark, [(u, 1) for u in range(50)])
-    got = lists(covote.user_neighbours(data, 3, skew=Skew(block=4)), "src", "dst")
+    got = lists(covote.user_neighbours(data, 3, skew=Skew(block=4, wide=4)), "src", "dst")
     assert got == {u: [v for v in range(5) if v != u][:3] for u in range(50)}
 
 
@@ -97,7 +97,7 @@ def test_random_hot_data(spark, seed):
     data = covote.from_rows(spark, rows)
     n = seed + 1
     expected = brute_neighbours(brute_similarity(rows, 0), n)
-    got = lists(covote.user_neighbours(data, n, skew=Skew(block=2, hot_keys=4)), "src", "dst")
+    got = lists(covote.user_neighbours(data, n, skew=Skew(block=2, wide=seed + 1)), "src", "dst")
     assert got == expected
 
 
@@ -194,7 +194,7 @@ def test_more_heavy_keys_than_are_broadcast(spark, monkeypatch, broadcast):
     monkeypatch.setattr(skew, "MAX_BROADCAST_KEYS", broadcast)
     rows = hot_rows(6, users=50)
     data = covote.from_rows(spark, rows)
-    small = Skew(block=2, hot_keys=1)
+    small = Skew(block=2, wide=3)
     pairs = data.distinct()
     heavy = skew.heavy_keys(skew.key_counts(pairs, "item"), "item", small)
     assert heavy.first.count() == broadcast
