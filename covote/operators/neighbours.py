@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from covote.functions.columns import cosine, degree_product
 from covote.operators.lineage import stored
-from covote.operators.similarity import binary_pairs, both_directions
+from covote.operators.similarity import binary_pairs, both_directions, named, sides
 from covote.operators.skew import (
     DEFAULT_SKEW,
     Skew,
     heavy_keys,
     keep_keys,
     key_counts,
-    listed,
-    narrowed,
+    most_rows,
     salted_join,
     tag_heavy,
 )
@@ -73,27 +72,22 @@ def top_neighbours(
     that is probed for each class of entities with the same wide keys (see ``_wide_candidates``).
     """
     check_size("n", n)
-    mine, others = df, df
-    if targets is not None:
-        targets = listed(df.sparkSession, targets)
-        mine = keep_keys(df, entity, targets)
-        others = narrowed(df, basis, mine)
-    lo = binary_pairs(mine, entity, basis)
+    mine, others, counted = sides(df, entity, basis, targets)
     hi = binary_pairs(others, entity, basis)
-    met = narrowed(df, entity, others) if others is not df else df
-    degree = key_counts(binary_pairs(met, entity, basis), "entity")
-    widest = key_counts(hi, "basis").agg(F.max("n")).first()[0] or 0
-    if widest > skew.wide:
+    lo = hi if mine is others else binary_pairs(mine, entity, basis)
+    degree = key_counts(binary_pairs(counted, entity, basis), "entity")
+    # repeated rows may make a key look wider than it is, so only wide ones are counted again
+    if most_rows(others, basis) > skew.wide and most_rows(hi, "basis") > skew.wide:
         return _bounded(lo, hi, degree, n, ties, targets is not None, skew)
 
     # Of those an entity meets on one key only, just the n + 1 members of this key with the lowest
     # degree can be in its list; the rest is dropped before ranking.
-    first = _sided(hi.join(degree, "entity"), "hi")
+    first = named(hi.join(degree, "entity"), "hi")
     first = first.withColumn("near_hi", _place(["basis"], "n_hi", "hi", ties) <= n + 1)
     if targets is None:
         second = first.withColumnsRenamed({"hi": "lo", "n_hi": "n_lo", "near_hi": "near_lo"})
     else:
-        second = _sided(lo.join(degree, "entity"), "lo").withColumn("near_lo", F.lit(False))
+        second = named(lo.join(degree, "entity"), "lo").withColumn("near_lo", F.lit(False))
     found = _meetings(second, first, targets is not None, F.col("near_lo").cast("int") + 2 * F.col("near_hi").cast("int"))
     found = found.groupBy("lo", "hi", "nn").agg(F.count(F.lit(1)).alias("common"), F.max("near").alias("near"))
     # whether lo may be in the list of hi, and hi in that of lo, if one key is all they share
@@ -108,12 +102,6 @@ def top_neighbours(
     return neighbours(found.where(near), n, ties=ties)
 
 
-def _sided(profiled: DataFrame, role: str) -> DataFrame:
-    """One side of the join on ``basis``, with every other column named for its role."""
-    rest = [c for c in profiled.columns if c not in ("basis", "entity")]
-    return profiled.select("basis", F.col("entity").alias(role), *[F.col(c).alias(f"{c}_{role}") for c in rest])
-
-
 def _meetings(lo: DataFrame, hi: DataFrame, directed: bool, near: Column) -> DataFrame:
     wanted = F.col("lo") != F.col("hi") if directed else F.col("lo") < F.col("hi")
     return lo.join(hi, "basis").where(wanted).select("lo", "hi", degree_product("n_lo", "n_hi").alias("nn"), near.alias("near"))
@@ -150,8 +138,8 @@ def _bounded(lo: DataFrame, hi: DataFrame, degree: DataFrame, n: int, ties: bool
 
     # those who share a key of few members, from both sides
     light = ~is_wide
-    first = _sided(hi.where(light).join(profile, "entity"), "hi")
-    second = _sided(lo.where(light).join(searchers, "entity"), "lo")
+    first = named(hi.where(light).join(profile, "entity"), "hi")
+    second = named(lo.where(light).join(searchers, "entity"), "lo")
     columns = [f"{c}_{role}" for role in ("lo", "hi") for c in ("n", *CLASS)]
     met = (
         second.join(first, "basis")

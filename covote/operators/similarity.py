@@ -8,7 +8,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from covote.functions.columns import cosine, degree_product
-from covote.operators.skew import DEFAULT_SKEW, Skew, all_slices, heavy_keys, keep_keys, key_counts, own_slice, tag_heavy
+from covote.operators.skew import (
+    DEFAULT_SKEW,
+    Skew,
+    all_slices,
+    heavy_keys,
+    keep_keys,
+    key_counts,
+    listed,
+    most_rows,
+    narrowed,
+    own_slice,
+    tag_heavy,
+)
 
 
 def interaction_counts(
@@ -86,6 +98,48 @@ def both_directions(df: DataFrame) -> DataFrame:
     )
 
 
+def sides(df: DataFrame, entity: str, basis: str, targets) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both sides of the self-join on the basis, and the rows to count the degrees of all entities in them from.
+
+    With ``targets`` the first side has only these. If they have few basis keys between them, the
+    second has only the rows of these keys; and if few entities are met on these, the third has only
+    the rows of these entities. Each list is short (``skew.LISTED``) or not used at all. The columns
+    are those of ``df``; repeated rows are still there.
+    """
+    if targets is None:
+        return df, df, df
+    mine = keep_keys(df, entity, listed(df.sparkSession, targets)).select(entity, basis)
+    others = narrowed(df, basis, mine)
+    return mine, others, df if others is df else narrowed(df, entity, others)
+
+
+def meetings(df: DataFrame, entity: str, basis: str, targets, skew: Skew, degrees: bool = True) -> DataFrame:
+    """One row per pair and basis key they share: ``lo, hi`` and, if asked for, their degrees ``n_lo, n_hi``.
+
+    A key of more than ``skew.block`` members is cut into cells; whether there is one is measured first.
+    """
+    mine, others, counted = sides(df, entity, basis, targets)
+    hi = binary_pairs(others, entity, basis)
+    lo = hi if mine is others else binary_pairs(mine, entity, basis)
+    cells = most_rows(others, basis) > skew.block
+    if cells:
+        heavy = heavy_keys(key_counts(hi, "basis"), "basis", skew)
+        hi, lo = (tag_heavy(side, "basis", heavy) for side in (hi, lo))
+    if degrees:
+        degree = key_counts(binary_pairs(counted, entity, basis), "entity")
+        hi, lo = (side.join(degree, "entity") for side in (hi, lo))
+    if cells:
+        return meet(in_cells(lo, "lo"), in_cells(hi, "hi"), targets)
+    wanted = F.col("lo") < F.col("hi") if targets is None else F.col("lo") != F.col("hi")
+    return named(lo, "lo").join(named(hi, "hi"), "basis").where(wanted)
+
+
+def named(side: DataFrame, role: str) -> DataFrame:
+    """One side of the join on ``basis`` with every other column named for its role."""
+    rest = [c for c in side.columns if c not in ("basis", "entity")]
+    return side.select("basis", F.col("entity").alias(role), *[F.col(c).alias(f"{c}_{role}") for c in rest])
+
+
 def cooccurrence(
     df: DataFrame, entity: str, basis: str, *, targets=None, skew: Skew = DEFAULT_SKEW
 ) -> DataFrame:
@@ -94,23 +148,13 @@ def cooccurrence(
     Without ``targets`` each pair appears once, with ``src < dst``; with them, once for
     each target it contains, with the target as ``src``.
     """
-    pairs = binary_pairs(df, entity, basis)
-    heavy = heavy_keys(key_counts(pairs, "basis"), "basis", skew)
-    tagged = tag_heavy(pairs, "basis", heavy)
-    met = meet(in_cells(keep_keys(tagged, "entity", targets), "lo"), in_cells(tagged, "hi"), targets)
-    return met.groupBy(F.col("lo").alias("src"), F.col("hi").alias("dst")).agg(
-        F.count(F.lit(1)).alias("common")
-    )
+    met = meetings(df, entity, basis, targets, skew, degrees=False)
+    return met.groupBy(F.col("lo").alias("src"), F.col("hi").alias("dst")).agg(F.count(F.lit(1)).alias("common"))
 
 
 def weighted_meetings(df: DataFrame, entity: str, basis: str, targets, skew: Skew) -> DataFrame:
     """One row ``lo, hi, nn`` per pair and shared basis key; ``nn`` is the product of both degrees."""
-    pairs = binary_pairs(df, entity, basis)
-    heavy = heavy_keys(key_counts(pairs, "basis"), "basis", skew)
-    profiled = tag_heavy(pairs, "basis", heavy).join(key_counts(pairs, "entity"), "entity")
-    met = meet(
-        in_cells(keep_keys(profiled, "entity", targets), "lo"), in_cells(profiled, "hi"), targets
-    )
+    met = meetings(df, entity, basis, targets, skew)
     return met.select("lo", "hi", degree_product("n_lo", "n_hi").alias("nn"))
 
 

@@ -15,11 +15,13 @@ from covote.operators.skew import (
     heavy_keys,
     keep_keys,
     key_counts,
+    most_rows,
     own_slice,
     salted_join,
     tag_heavy,
 )
 
+FEW_TARGETS = 16  # each row of a user is a vote for so many at most
 MAX_HEAVY_VOTERS = 4  # their sets are listed, so it stays small
 
 
@@ -31,6 +33,8 @@ def user_votes(
     Every interaction row of a neighbour is one vote. ``interactions`` need not be the data
     the neighbours were found on.
     """
+    if most_rows(interactions, "user") <= skew.block:
+        return _plain_votes(interactions, neighbours)
     voters = neighbours.select(F.col("src").alias("target"), F.col("dst").alias("user"))
     counted = interaction_counts(interactions)
     heavy = _heavy(interactions, "user", "item", skew)
@@ -41,11 +45,28 @@ def user_votes(
     )
 
 
+def _plain_votes(interactions: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """Votes where no user has many rows: one join, which Spark may split at a neighbour of very many, and one sum."""
+    owned = interactions.select(F.col("user").cast("long").alias("voter"), F.col("item").cast("long").alias("item"))
+    owned = owned.where(F.col("voter").isNotNull() & F.col("item").isNotNull())
+    voters = neighbours.select(F.col("src").alias("user"), F.col("dst").alias("voter"))
+    return owned.join(voters, "voter").groupBy("user", "item").agg(F.count(F.lit(1)).alias("votes"))
+
+
 def top_user_items(
-    neighbours: DataFrame, interactions: DataFrame, k: int, *, skew: Skew = DEFAULT_SKEW
+    neighbours: DataFrame,
+    interactions: DataFrame,
+    k: int,
+    *,
+    targets: int | None = None,
+    skew: Skew = DEFAULT_SKEW,
 ) -> DataFrame:
     """``top_k(user_votes(neighbours, interactions), k)`` without listing what heavy users have.
 
+    How many rows the heaviest user has is measured first, unless ``targets``, the number of users there are lists
+    for, is so small that no row can be voted with often. With up to ``skew.block`` rows a user the
+    votes are simply summed; otherwise as follows.
+
     A user with a large share of all rows may be a neighbour of very many others, and all
     its items would be voted for once for each of them. So for the few heaviest users their
     votes are summed beforehand, per item and per set of heavy users. A target whose
@@ -53,6 +74,8 @@ def top_user_items(
     the items its other neighbours have. Any item left out stands behind those k.
     """
     check_size("k", k)
+    if (targets is not None and targets <= FEW_TARGETS) or most_rows(interactions, "user") <= skew.block:
+        return top_k(_plain_votes(interactions, neighbours), k)
     bits = MAX_HEAVY_VOTERS
     counted = interaction_counts(interactions)
     heavy = _heavy(interactions, "user", "item", skew)
@@ -139,6 +162,11 @@ def item_votes(
     neighbours: DataFrame, interactions: DataFrame, *, users=None, skew: Skew = DEFAULT_SKEW
 ) -> DataFrame:
     """The items most like those each user has: ``user, item, votes``, one vote per interaction row."""
+    if most_rows(interactions, "item") <= skew.block:
+        owned = keep_keys(interactions.select(F.col("user").cast("long").alias("user"), F.col("item").cast("long").alias("item")), "user", users)
+        owned = owned.where(F.col("user").isNotNull() & F.col("item").isNotNull())
+        similar = neighbours.select(F.col("src").alias("item"), F.col("dst").alias("similar"))
+        return owned.join(similar, "item").groupBy("user", F.col("similar").alias("item")).agg(F.count(F.lit(1)).alias("votes"))
     owned = keep_keys(interaction_counts(interactions), "user", users)
     heavy = _heavy(interactions, "item", "user", skew)
     similar = neighbours.select(F.col("src").alias("item"), F.col("dst").alias("similar"))

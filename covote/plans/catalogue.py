@@ -20,6 +20,7 @@ FRONTS = 2  # neighbours wanted by the Pareto queries
 SPLIT_DATE = "2000-01-01"
 SEGMENT = "BUILDING"
 WORD = "widget"
+USERS = [4, 7, 31]  # asked for by their ids
 
 
 def inter(spark, sf):
@@ -200,6 +201,38 @@ def rec_hybrid_target(spark, sf):
     return covote.recommend_hybrid(inter(spark, sf), N, K, targets=targets(spark, sf))
 
 
+def user_neighbours_literal(spark, sf):
+    return covote.user_neighbours(inter(spark, sf), N, targets=USERS)
+
+
+def item_neighbours_literal(spark, sf):
+    return covote.item_neighbours(inter(spark, sf), N, targets=USERS)
+
+
+def rec_user_cf_literal(spark, sf):
+    return covote.recommend_user(inter(spark, sf), N, K, targets=USERS)
+
+
+def rec_item_cf_literal(spark, sf):
+    return covote.recommend_item(inter(spark, sf), N, K, targets=USERS)
+
+
+def rec_hybrid_literal(spark, sf):
+    return covote.recommend_hybrid(inter(spark, sf), N, K, targets=USERS)
+
+
+def rec_multi_objective_literal(spark, sf):
+    return covote.recommend_multi_objective(features(spark, sf), FRONTS, K, targets=USERS)
+
+
+def rec_item_cf_unseen(spark, sf):
+    return covote.recommend_item(inter(spark, sf), N, K, exclude_seen=True)
+
+
+def rec_hybrid_unseen(spark, sf):
+    return covote.recommend_hybrid(inter(spark, sf), N, K, exclude_seen=True)
+
+
 # several objectives
 
 
@@ -310,6 +343,8 @@ QUERIES = {
         neighbours_with_ties, event_neighbours_with_ties, user_votes, item_votes,
         rec_user_cf, rec_user_cf_target, rec_user_cf_unseen, rec_user_cf_other_data,
         rec_item_cf, rec_item_cf_target, rec_item_cf_other_data, rec_hybrid, rec_hybrid_target,
+        user_neighbours_literal, item_neighbours_literal, rec_user_cf_literal, rec_item_cf_literal, rec_hybrid_literal,
+        rec_multi_objective_literal, rec_item_cf_unseen, rec_hybrid_unseen,
         feature_similarity, feature_text, most_similar, pareto_front, dominated_candidates,
         mo_neighbours_one_feature, mo_neighbours_shared, mo_neighbours_zero,
         mo_neighbours_three_features, neighbour_counts,

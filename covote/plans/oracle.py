@@ -6,7 +6,7 @@ without any of the shortcuts the Spark plans take.
 
 from __future__ import annotations
 
-from covote.plans.catalogue import FRONTS, K, N, SEGMENT, SPLIT_DATE, WORD
+from covote.plans.catalogue import FRONTS, K, N, SEGMENT, SPLIT_DATE, USERS, WORD
 
 LINES = 'SELECT o_custkey AS "user", l_partkey AS item FROM orders JOIN lineitem ON l_orderkey = o_orderkey'
 INTER = f"inter AS ({LINES})"
@@ -64,14 +64,20 @@ def select(what: str, *ctes: str) -> str:
 
 RECS = 'SELECT "user", item, votes, "rank" FROM recs'
 RECS_TARGET = RECS + ' WHERE "user" IN (SELECT c_custkey FROM targets)'
+RECS_LITERAL = RECS + f' WHERE "user" IN ({", ".join(map(str, USERS))})'
 NBRS = 'SELECT src, dst, sim, "rank" FROM nbrs'
 VOTES = 'SELECT "user", item, votes FROM votes'
 
 
-def hybrid(data: str) -> list[str]:
+FRESH = """fresh AS (SELECT * FROM votes v WHERE NOT EXISTS
+    (SELECT 1 FROM inter i WHERE i."user" = v."user" AND i.item = v.item))"""
+
+
+def hybrid(data: str, *fresh: str) -> list[str]:
     """CTEs up to ``recs``: both lists in full, then votes over them."""
-    user = select('SELECT "user", item FROM recs', sims(data), nbrs(), user_votes(data), top())
-    item = select('SELECT "user", item FROM recs', item_sims(data), nbrs(), item_votes(data), top())
+    last = (*fresh, top("fresh" if fresh else "votes"))
+    user = select('SELECT "user", item FROM recs', sims(data), nbrs(), user_votes(data), *last)
+    item = select('SELECT "user", item FROM recs', item_sims(data), nbrs(), item_votes(data), *last)
     return [
         f"both_lists AS (SELECT * FROM ({user}) UNION ALL SELECT * FROM ({item}))",
         'votes AS (SELECT "user", item, CAST(count(*) AS BIGINT) AS votes FROM both_lists GROUP BY "user", item)',
@@ -199,14 +205,25 @@ def statements() -> dict[str, str]:
         "rec_user_cf_target": select(RECS_TARGET, INTER, TARGETS, *user_cf),
         "rec_user_cf_unseen": select(
             RECS, INTER, *user_cf[:3],
-            """fresh AS (SELECT * FROM votes v WHERE NOT EXISTS
-            (SELECT 1 FROM inter i WHERE i."user" = v."user" AND i.item = v.item))""",
-            top("fresh"),
+            FRESH, top("fresh"),
         ),
         "rec_user_cf_other_data": select(RECS, TRAIN, HELD, sims("train"), nbrs(), user_votes("held"), top()),
         "rec_item_cf": select(RECS, INTER, *item_cf),
         "rec_item_cf_target": select(RECS_TARGET, INTER, TARGETS, *item_cf),
         "rec_item_cf_other_data": select(RECS, TRAIN, HELD, item_sims("train"), nbrs(), item_votes("held"), top()),
+        "user_neighbours_literal": select(
+            NBRS + f" WHERE src IN ({', '.join(map(str, USERS))})", INTER, sims("inter"), nbrs()
+        ),
+        "item_neighbours_literal": select(
+            NBRS + f""" WHERE src IN (SELECT item FROM inter WHERE "user" IN ({", ".join(map(str, USERS))}))""",
+            INTER, item_sims("inter"), nbrs(),
+        ),
+        "rec_user_cf_literal": select(RECS_LITERAL, INTER, *user_cf),
+        "rec_item_cf_literal": select(RECS_LITERAL, INTER, *item_cf),
+        "rec_hybrid_literal": select(RECS_LITERAL, INTER, *hybrid("inter")),
+        "rec_multi_objective_literal": select(RECS_LITERAL, *feats(2), *mo),
+        "rec_item_cf_unseen": select(RECS, INTER, *item_cf[:3], FRESH, top("fresh")),
+        "rec_hybrid_unseen": select(RECS, INTER, *hybrid("inter", FRESH)),
         "rec_hybrid": select(RECS, INTER, *hybrid("inter")),
         "rec_hybrid_target": select(RECS_TARGET, INTER, TARGETS, *hybrid("inter")),
         "feature_similarity": select("SELECT src, dst, f0, f1 FROM feats", *feats(2)),

@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from covote.operators.neighbours import check_size, top_neighbours
 from covote.operators.pareto import pareto_neighbours
 from covote.operators.similarity import feature_similarity, most_similar
-from covote.operators.skew import DEFAULT_SKEW, Skew, keep_keys
+from covote.operators.skew import DEFAULT_SKEW, Skew, keep_keys, listed
 from covote.operators.votes import drop_seen, item_votes, top_k, top_user_items, user_votes
 
 
+BROADCAST_ROWS = 100_000  # of two numbers, that go to every task
+
+
 def target_users(interactions: DataFrame) -> DataFrame:
     """All users there is data for."""
     return interactions.select(F.col("user").cast("long").alias("user")).where("user is not null").distinct()
@@ -33,17 +36,27 @@ def item_neighbours(
 ) -> DataFrame:
     """The ``n`` items most like each item; with ``targets`` only for the items these users have."""
     if targets is not None:
-        targets = keep_keys(interactions.select("user", "item"), "user", targets).select("item").distinct()
+        targets = keep_keys(interactions.select("user", "item"), "user", listed(interactions.sparkSession, targets))
+        targets = targets.select("item").distinct()
     return top_neighbours(interactions, "item", "user", n, ties=ties, targets=targets, skew=skew)
 
 
 def recommend_from_users(
-    neighbours: DataFrame, interactions: DataFrame, k: int, *, exclude_seen: bool = False, skew: Skew = DEFAULT_SKEW
+    neighbours: DataFrame,
+    interactions: DataFrame,
+    k: int,
+    *,
+    targets: int | None = None,
+    exclude_seen: bool = False,
+    skew: Skew = DEFAULT_SKEW,
 ) -> DataFrame:
-    """Top-k lists from the items of given neighbours, e.g. ones found earlier or on other data."""
+    """Top-k lists from the items of given neighbours, e.g. ones found earlier or on other data.
+
+    ``targets`` is the number of users these are the neighbours of, where it is known.
+    """
     if exclude_seen:
         return top_k(drop_seen(user_votes(neighbours, interactions, skew=skew), interactions), k)
-    return top_user_items(neighbours, interactions, k, skew=skew)
+    return top_user_items(neighbours, interactions, k, targets=targets, skew=skew)
 
 
 def recommend_from_items(
@@ -70,8 +83,13 @@ def recommend_user(
     skew: Skew = DEFAULT_SKEW,
 ) -> DataFrame:
     """User-based collaborative filtering: ``user, item, votes, rank``."""
+    if targets is not None:
+        targets = listed(interactions.sparkSession, targets)
     found = user_neighbours(interactions, n, targets=targets, skew=skew)
-    return recommend_from_users(found, interactions, k, exclude_seen=exclude_seen, skew=skew)
+    few = len(targets) if isinstance(targets, list) else None
+    if few is not None and few * n <= BROADCAST_ROWS:
+        found = F.broadcast(found)  # n rows for each of these targets at most
+    return recommend_from_users(found, interactions, k, targets=few, exclude_seen=exclude_seen, skew=skew)
 
 
 def recommend_item(
@@ -84,6 +102,8 @@ def recommend_item(
     skew: Skew = DEFAULT_SKEW,
 ) -> DataFrame:
     """Item-based collaborative filtering: ``user, item, votes, rank``."""
+    if targets is not None:
+        targets = listed(interactions.sparkSession, targets)
     found = item_neighbours(interactions, n, targets=targets, skew=skew)
     return recommend_from_items(
         found, interactions, k, targets=targets, exclude_seen=exclude_seen, skew=skew
@@ -106,6 +126,8 @@ def recommend_hybrid(
     skew: Skew = DEFAULT_SKEW,
 ) -> DataFrame:
     """User-based and item-based lists combined: ``user, item, votes, rank`` with votes 1 or 2."""
+    if targets is not None:
+        targets = listed(interactions.sparkSession, targets)
     options = dict(targets=targets, exclude_seen=exclude_seen, skew=skew)
     return combine(
         recommend_user(interactions, n, k, **options),

@@ -10,7 +10,7 @@ import covote
 from covote import Skew
 
 # every way to treat hot keys, down to splitting and summarising almost all of them
-SKEWS = [Skew(), Skew(block=3, wide=1), Skew(block=3, wide=5), Skew(block=2, wide=20)]
+SKEWS = [Skew(), Skew(block=3)]
 
 
 def hot_rows(seed, users=90):
@@ -84,6 +84,64 @@ def test_hot_keys_do_not_change_results(spark, skew):
     assert lists(covote.recommend_item(data, 4, 5, skew=skew), "user", "item", "votes") == brute_top(votes, 5)
 
 
+@pytest.mark.parametrize("wide", [1, 5, 20])
+def test_bounded_search_finds_the_lists(spark, wide):
+    """Every key, those of a few users and just the hot ones left out of the pairing."""
+    rows, skew = hot_rows(1 + wide), Skew(block=3, wide=wide)
+    data = covote.from_rows(spark, rows)
+    by_user = brute_neighbours(brute_similarity(rows, 0), 4)
+    assert lists(covote.user_neighbours(data, 4, skew=skew), "src", "dst") == by_user
+    some = covote.user_neighbours(data, 4, targets=[0, 7, -5, 12345], skew=skew)
+    assert lists(some, "src", "dst") == {u: by_user[u] for u in (0, 7, -5)}
+    n = 2 if wide == 5 else 6
+    by_item = brute_neighbours(brute_similarity(rows, 1), n)
+    assert lists(covote.item_neighbours(data, n, skew=skew), "src", "dst") == by_item
+
+
+def popular_sets(users, seed=5):
+    """30 popular items of which each user has five, and an item of few users."""
+    rng = random.Random(seed)
+    return [(u, i) for u in range(users) for i in [*rng.sample(range(30), 5), 100 + u // 4]]
+
+
+def test_pairs_of_popular_keys_grow_with_the_users(spark):
+    """With the popular keys paired, twice the users would make four times as many pairs."""
+    from covote.operators import neighbours
+
+    met, whole = [], neighbours._ranked
+    for users in (400, 800):
+        rows = popular_sets(users)
+
+        def counted(light, best, shared, *rest):
+            met.append(shared.count() + best.count())
+            return whole(light, best, shared, *rest)
+
+        neighbours._ranked = counted
+        try:
+            got = covote.user_neighbours(covote.from_rows(spark, rows), 3, skew=Skew(wide=8))
+        finally:
+            neighbours._ranked = whole
+        if users == 400:
+            assert lists(got, "src", "dst") == brute_neighbours(brute_similarity(rows, 0), 3)
+    assert met[1] < 2.2 * met[0]
+
+
+@pytest.mark.parametrize("limit", [0, 2, 40])
+def test_short_and_long_lists_of_targets(spark, monkeypatch, limit):
+    """Filters, broadcasts and whole sides give the same lists."""
+    from covote.operators import skew
+
+    monkeypatch.setattr(skew, "LISTED", limit)
+    monkeypatch.setattr(skew, "LITERAL", limit // 2)
+    rows = hot_rows(9)
+    data = covote.from_rows(spark, rows)
+    by_user = brute_neighbours(brute_similarity(rows, 0), 4)
+    wanted = spark.createDataFrame([(0,), (7,), (None,), (7,), (12345,)], "id long")
+    assert lists(covote.user_neighbours(data, 4, targets=wanted), "src", "dst") == {u: by_user[u] for u in (0, 7)}
+    whole = lists(covote.recommend_user(data, 4, 5), "user", "item", "votes")
+    assert lists(covote.recommend_user(data, 4, 5, targets=[0, 7]), "user", "item", "votes") == {u: whole[u] for u in (0, 7)}
+
+
 def test_long_lists_from_hot_classes(spark):
     """All users meet on one item alone: every list is a tie, broken by id."""
     data = covote.from_rows(spark, [(u, 1) for u in range(50)])
@@ -127,7 +185,7 @@ def test_ties_contain_the_plain_list(spark):
     assert plain < ties
     assert ties == {r[:2] for r in one_feature}
     data = covote.from_rows(spark, hot_rows(3))
-    for skew in SKEWS:
+    for skew in (Skew(), Skew(block=3, wide=4)):
         got = covote.user_neighbours(data, 3, ties=True, skew=skew).collect()
         assert {(r["src"], r["dst"], r["rank"]) for r in got} == with_rank
         assert len(got) == len(with_rank)
