@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,6 +115,36 @@ def _meetings(lo: DataFrame, hi: DataFrame, directed: bool, near: Column) -> Dat
 CLASS = ["w", "c0", "c1"]  # number of wide keys of an entity, and a 128-bit code of which these are
 
 
+SMALL = 10  # keys of a class up to which it is listed under sets of them
+DEPTH = 4  # keys of such a set
+SETS = [(m, at) for m in range(1, DEPTH + 1) for at in combinations(range(SMALL), m)]
+
+
+def _index(keys: DataFrame) -> DataFrame:
+    """The lists each class is in or asks: ``head, n_head, w, m, slot, tail, big, listed``.
+
+    ``slot`` is a code of ``m`` of its keys and ``tail`` the number of keys behind the last of these. Large classes
+    have lists of their own (``big``), which all ask with single keys, as large classes do everywhere. A row that
+    only asks is not ``listed``.
+    """
+    small = (
+        keys.where(F.col("w") <= SMALL)
+        .groupBy("head", "n_head", "w")
+        .agg(F.sort_array(F.collect_list(F.struct((-F.col("left")).alias("at"), "basis"))).alias("keys"))
+    )
+    sets = F.array(*[F.struct(F.lit(m).alias("m"), F.array(*map(F.lit, at)).alias("at")) for m, at in SETS])
+    small = small.withColumn("set", F.explode(sets)).where(F.element_at("set.at", -1) < F.col("w"))
+    members = [F.get("keys", F.get("set.at", F.lit(i))).getField("basis") for i in range(DEPTH)]
+    tail = (F.col("w") - F.element_at("set.at", -1) - 1).cast("int")
+    code = F.xxhash64(F.col("set.m"), *members)
+    small = small.select("head", "n_head", "w", F.col("set.m").alias("m"), code.alias("slot"), tail.alias("tail"))
+    large = keys.where(F.col("w") > SMALL).select(
+        "head", "n_head", "w", F.lit(1).alias("m"), F.xxhash64(F.lit(1), "basis").alias("slot"), (F.col("left") - 1).cast("int").alias("tail")
+    )
+    kinds = [(small, False, True), (small.where("m = 1"), True, False), (large, True, True), (large, False, False)]
+    return reduce(DataFrame.unionByName, [df.withColumns({"big": F.lit(big), "listed": F.lit(own)}) for df, big, own in kinds])
+
+
 def _strength(overlap: str, degree: str) -> Column:
     """The square of the similarity times the degree of the one who searches: it orders its list."""
     return (F.col(overlap) * F.col(overlap)).cast("double") / F.col(degree).cast("double")
@@ -161,14 +194,16 @@ def _wide_candidates(profile: DataFrame, searchers: DataFrame, wide: DataFrame,
     each class only the first n + 1 by degree and id can be in a list (one more than n, because an
     entity may stand in its own). So classes search for classes.
 
-    *Bound.* The n + 1 of lowest degree of each key that a class has, and its own first members, give
-    the class n + 1 candidates of known strength; weaker ones need not be found.
+    *Index.* The keys of a class are in order of their popularity, rarest first. A class of at most ``SMALL`` keys is
+    listed under every set of up to ``DEPTH`` of its keys, a larger one under each single key.
 
-    *Probes.* The keys of a class are in order of their popularity, rarest first. Two classes that meet
-    first on a key share at most as many keys as are left of the shorter one from there, r. A candidate of degree d
-    is at least as strong as the bound t only if r^2 / d >= t. So a class stops probing where the keys it has
-    left are too few for any degree, and elsewhere visits only the stretches of the index (by the
-    binary logarithm of the degree) from t to r^2 / t.
+    *Bound.* The n + 1 classes of lowest degree of each list that a class is in, and its own first members,
+    give it n + 1 candidates of known strength; weaker ones need not be found.
+
+    *Probes.* A candidate of degree d is as strong as the bound t only if it shares o >= sqrt(t d) keys. So
+    a class visits the lists of those of its sets of m <= o keys behind which it has o - m keys left, for
+    each stretch of degrees (by the binary logarithm) from t to w^2 / t: the more keys must be shared, the longer
+    the sets and the shorter the lists. Of a list it takes those that can be strong enough with the keys that both have left.
     """
     members = profile.where("w > 0")
     by = F.struct("n", "entity")
@@ -181,45 +216,44 @@ def _wide_candidates(profile: DataFrame, searchers: DataFrame, wide: DataFrame,
     keys = wide.join(heads.withColumn("entity", F.col("head")), "entity").select("head", "basis", "splits", "w", "n_head")
     keys = stored(keys.withColumn("left", F.col("w") - F.row_number().over(order) + 1).drop("splits"), "class-keys")
     asking = searchers.where("w > 0").select(*CLASS).distinct().join(heads, CLASS).select("head")
-    probes = keys.join(asking, "head", "left_semi").select(F.col("head").alias("src"), "basis", "left")
+
+    index = stored(_index(keys), "class-index")
+    asked = index.join(asking, "head", "left_semi").withColumnRenamed("head", "src")
 
     # the bound of each class: its (n + 1)-th best of those known at once
-    near = keys.withColumn("place", _place(["basis"], "n_head", "head", False)).where(F.col("place") <= n + 1)
-    listed_ = probes.join(near.select("basis", F.col("head").alias("cls"), F.col("n_head").alias("n_dst")), "basis")
-    known = listed_.groupBy("src", "cls", "n_dst").agg(F.count(F.lit(1)).alias("c")).withColumn("dst", F.col("cls"))
+    near = index.where("listed").withColumn("place", _place(["slot", "big"], "n_head", "head", False)).where(F.col("place") <= n + 1)
+    near = near.select("slot", "big", F.col("head").alias("cls"), F.col("n_head").alias("n_dst"))
+    # one who shares several single keys shares as many, one of a list of sets at least these
+    shared = F.greatest(F.sum(F.when(F.col("m") == 1, 1).otherwise(0)), F.max("m").cast("long"))
+    known = asked.join(near, ["slot", "big"]).groupBy("src", "cls", "n_dst").agg(shared.alias("c"))
     own = reps.join(heads, CLASS).join(asking, "head", "left_semi")
     own = own.select(F.col("head").alias("src"), F.col("head").alias("cls"), "n_dst", F.col("w").alias("c"), "dst")
-    known = stored(known.where("src != cls").unionByName(own), "known")
-    known = known.withColumn("t", _strength("c", "n_dst"))
+    known = known.withColumn("dst", F.col("cls")).where("src != cls").unionByName(own)
+    known = stored(known.withColumn("t", _strength("c", "n_dst")), "known")
     nth = Window.partitionBy("src").orderBy(F.col("t").desc(), "dst")
     bound = known.withColumn("place", F.row_number().over(nth)).where(F.col("place") == n + 1)
     bound = stored(bound.select("src", "t", F.col("dst").alias("t_dst")), "bounds")
 
     bucket = lambda x: F.floor(F.log2(F.greatest(x, F.lit(1.0)))).cast("int")
-    most = (F.col("left") * F.col("left")).cast("double")
-    bounded = probes.join(bound, "src", "left").withColumn("t", F.coalesce("t", F.lit(0.0)))
+    most = (F.col("w") * F.col("w")).cast("double")
+    bounded = asked.join(bound, "src", "left").withColumn("t", F.coalesce("t", F.lit(0.0)))
     # of rounding a little is let through: what is found is compared exactly afterwards
-    last = F.when(F.col("t") > 0, F.least(bucket(most / F.col("t") * (1 + 1e-9)), F.lit(63))).otherwise(F.lit(63))
-    bounded = bounded.where(most >= F.col("t") * (1 - 1e-9))
-    visited = F.sequence(bucket(F.col("t") * (1 - 1e-9)), F.greatest(last, bucket(F.col("t"))))
-    stretches = bounded.select("src", "basis", "left", "t", "t_dst", F.explode(visited).alias("bucket"))
-    index = keys.select(
-        "basis",
-        F.col("head").alias("cls"),
-        F.col("n_head").alias("n_dst"),
-        F.col("left").alias("left_dst"),
-        bucket(F.col("n_head").cast("double")).alias("bucket"),
-    )
-    place = ["basis", "bucket"]
-    slot = lambda df: df.withColumn("slot", F.struct(*place))
-    hot = heavy_keys(key_counts(slot(index), "slot"), "slot", skew)
-    probed = salted_join(slot(index).drop(*place), slot(stretches).drop(*place), "slot", hot)
-    r = F.least("left", "left_dst")
+    less = F.col("t") * (1 - 1e-9)
+    last = F.when(less > 0, F.least(bucket(most / less), F.lit(63))).otherwise(F.lit(63))
+    bounded = bounded.where(most >= less).withColumn("bucket", F.explode(F.sequence(bucket(less), last)))
+    must = F.greatest(F.lit(1), F.ceil(F.sqrt(less * F.pow(F.lit(2.0), F.col("bucket")))).cast("int"))
+    depth = F.when(F.col("big") | (F.col("w") > SMALL), 1).otherwise(F.least(must, F.lit(DEPTH)))
+    slot = F.struct("slot", "big", "bucket").alias("slot")
+    stretches = bounded.where((F.col("m") == depth) & (F.col("m") + F.col("tail") >= must)).select("src", "m", "tail", "t", "t_dst", slot)
+    lists = index.where("listed").withColumn("bucket", bucket(F.col("n_head").cast("double")))
+    lists = lists.select(F.col("head").alias("cls"), F.col("n_head").alias("n_dst"), F.col("tail").alias("tail_dst"), slot)
+    probed = salted_join(lists, stretches, "slot", heavy_keys(key_counts(lists, "slot"), "slot", skew))
+    r = F.col("m") + F.least("tail", "tail_dst")
     best_case = (r * r).cast("double") / F.col("n_dst").cast("double")
     hit = best_case > F.col("t")
     # as strong as the bound at best: in a list without ties it must also come before it
     hit = hit | ((best_case == F.col("t")) & (F.lit(True) if ties else F.col("cls") <= F.coalesce("t_dst", "cls")))
-    pairs = probed.where(hit).select("src", "cls").union(known.select("src", "cls")).distinct()
+    pairs = stored(probed.where(hit).select("src", "cls").union(known.select("src", "cls")).distinct(), "class-pairs")
 
     def overlap_of(classes: DataFrame) -> DataFrame:
         """``src, cls, c``: how many wide keys both classes have."""
