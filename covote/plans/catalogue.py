@@ -75,6 +75,24 @@ def replay_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return covote.stored_interactions(spark, f"{path}/store")
 
 
+def _kept_up(spark, sf):
+    """The similarities of users after all chunks, each added in its turn."""
+    path = scratch_path(spark, "deltas")
+    covote.write_chunks(covote.chunk_by_user(inter(spark, sf)), f"{path}/chunks")
+    store = covote.SimilarityStore(f"{path}/store").create(spark)
+    covote.replay_in_order(spark, f"{path}/chunks", f"{path}/checkpoint", store.add)
+    return store
+
+
+def replay_neighbours(spark, sf):
+    return _kept_up(spark, sf).neighbours(spark, N)
+
+
+def replay_recommendations(spark, sf):
+    store = _kept_up(spark, sf)
+    return covote.recommend_from_users(store.neighbours(spark, N), store.interactions(spark), K)
+
+
 # building blocks
 
 
@@ -145,7 +163,7 @@ def event_neighbours_with_ties(spark, sf):
     events = table(spark, sf, "events").select(
         F.col("user_id").alias("user"), F.col("event_type").alias("item")
     )
-    return covote.neighbours(covote.similarity(events, "user", "item"), N, ties=True)
+    return covote.user_neighbours(events, N, ties=True)
 
 
 def user_votes(spark, sf):
@@ -336,6 +354,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         read_wide, write_pairs, chunk_by_user, number_chunks, replay_chunks,
+        replay_neighbours, replay_recommendations,
         interaction_counts, target_users, id_bounds, sum_values, count_containing,
         left_outer_interactions, popular_items,
         cooccurrence, user_similarity, item_similarity,

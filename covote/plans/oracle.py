@@ -164,6 +164,8 @@ def statements() -> dict[str, str]:
         "read_wide": same_rows,
         "write_pairs": same_rows,
         "replay_chunks": same_rows,
+        "replay_neighbours": select(NBRS, INTER, sims("inter"), nbrs()),
+        "replay_recommendations": select(RECS, INTER, *user_cf),
         "chunk_by_user": select(
             """SELECT "user", item, CAST((row_number() OVER (PARTITION BY "user" ORDER BY item) - 1) // 20 + 1
             AS INTEGER) AS chunk FROM inter""",

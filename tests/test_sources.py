@@ -54,6 +54,24 @@ def test_chunks(spark, skew):
     assert rows_of(got) == expected
 
 
+def test_far_ids_do_not_empty_the_stretches(spark):
+    """Dense ids and one far from them: the cuts are at quantiles, not at equal widths."""
+    from covote.operators.similarity import interaction_counts
+    from covote.sources.chunks import stretches
+
+    rows = spark.range(20_000).selectExpr("1L AS user", "id AS item").unionByName(
+        covote.from_rows(spark, [(1, 2**62), (2, 5), (2, 2**62)])
+    )
+    placed = stretches(interaction_counts(rows), Skew(block=1000)).groupBy("user", "stretch").count().collect()
+    sizes = {(r["user"], r["stretch"]): r["count"] for r in placed}
+    assert sum(sizes.values()) == 20_003 and sizes[2, 0] == 2
+    mine = [n for (u, _), n in sizes.items() if u == 1]
+    assert len(mine) >= 20 and max(mine) <= 1100
+    got = covote.chunk_by_user(rows, 7, skew=Skew(block=1000)).where("user = 1")
+    plain = covote.chunk_by_user(rows, 7).where("user = 1")
+    assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
+
+
 def test_chunks_round_trip_and_replay(spark, tmp_path):
     rows = chunked_rows(5)
     chunked = covote.chunk_by_user(covote.from_rows(spark, rows), 5)
@@ -80,6 +98,43 @@ def test_chunks_round_trip_and_replay(spark, tmp_path):
     assert rows_of(again) == rows_of(covote.recommend_user(covote.from_rows(spark, rows), 2, 3))
 
 
+def test_chunks_are_added_in_order(spark, tmp_path):
+    """Several writer tasks and touched files; a batch that is replayed changes nothing; lists equal those of all rows."""
+    rows = chunked_rows(5) + [(u, i) for u in range(10, 30) for i in range(u % 7, 40, 3)]
+    chunked = covote.chunk_by_user(covote.from_rows(spark, rows), 5)
+    chunked.repartition(3, "user").write.partitionBy("chunk").parquet(str(tmp_path / "chunks"))
+    for folder in sorted((tmp_path / "chunks").glob("chunk=*"), key=lambda p: -int(p.name[6:])):
+        for file in folder.glob("*.parquet"):
+            file.touch()  # the first chunk is the youngest
+    store, seen = covote.SimilarityStore(str(tmp_path / "store")).create(spark), []
+
+    def take(batch, version):
+        seen.append((version, {r[0] for r in batch.select("chunk").distinct().collect()}))
+        store.add(batch, version)
+
+    def replay(checkpoint):
+        return covote.replay_in_order(spark, str(tmp_path / "chunks"), str(tmp_path / checkpoint), take, chunks_per_batch=4)
+
+    versions = replay("first")
+    assert [v for v, _ in seen] == versions == sorted(versions) and len(versions) > 2
+    flat = [c for _, batch in seen for c in sorted(batch)]
+    assert flat == sorted(flat) == sorted({r["chunk"] for r in chunked.collect()})
+    whole = covote.from_rows(spark, rows)
+
+    def same(got, expected):
+        assert rows_of(got) == rows_of(expected)
+
+    same(store.interactions(spark), whole)
+    same(store.cooccurrence(spark), covote.cooccurrence(whole, "user", "item"))
+    same(store.neighbours(spark, 3), covote.user_neighbours(whole, 3))
+    middle = versions[len(versions) // 2]
+    so_far = chunked.where(F.col("chunk") <= middle).select("user", "item")
+    same(store.neighbours(spark, 3, up_to=middle), covote.user_neighbours(so_far, 3))
+    assert replay("first") == versions and len(seen) == len(versions)  # nothing is taken twice
+    store.add(chunked.where(F.col("chunk") > versions[-2]), versions[-1])  # as after a failure in the last batch
+    same(store.neighbours(spark, 3, ties=True, targets=[1, 12]), covote.user_neighbours(whole, 3, ties=True, targets=[1, 12]))
+
+
 def test_write_pairs_appends(spark, tmp_path):
     pairs = covote.from_rows(spark, [(1, 2), (3, 4)])
     for _ in range(2):
