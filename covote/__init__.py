@@ -3,7 +3,7 @@
 from covote.functions.columns import dominates, feature_text
 from covote.operators.evaluate import evaluate, hits, report, unseen
 from covote.operators.neighbours import neighbours, top_neighbours
-from covote.operators.pareto import dominated, neighbour_counts, pareto_front, pareto_neighbours
+from covote.operators.pareto import dominance_witnesses, dominated, neighbour_counts, pareto_front, pareto_neighbours
 from covote.operators.similarity import (
     cooccurrence,
     feature_rows,

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from covote.operators.lineage import cut_lineage
@@ -53,6 +53,71 @@ def dominated(sims: DataFrame, *, missing: str = "shared", skew: Skew = DEFAULT_
     return sims.select("src", "dst").join(front, ["src", "dst"], "left_anti")
 
 
+SLICES = 64  # of the first feature, of equal width: similarities are between 0 and 1
+
+
+def dominance_witnesses(sims: DataFrame, *, missing: str = "shared") -> DataFrame:
+    """One dominator for each dominated candidate: ``src, dst, by``, without comparing candidates in pairs.
+
+    Of those that dominate a candidate with both features it is one that has both, if there is one: the
+    one with the greatest f1, then f0, then the lowest id. Otherwise it is the one with the greatest
+    f0 of those that lack f1, and then of those with the greatest f1 that lack f0. A candidate without f1 has the
+    one with the greatest f0, one without f0 that with the greatest f1. For one or two features.
+
+    Equal vectors are one point, named by its lowest id. Points are swept from the greatest f0 down, and
+    the best f1 so far goes along with its identity. The sweep runs in slices of f0; a slice begins
+    with the best of those before it, so a ``src`` with very many points is dealt over several tasks.
+    """
+    names = feature_columns(sims)
+    if len(names) > 2:
+        raise ValueError("witnesses are found for one or two features")
+    if missing not in ("shared", "zero"):
+        raise ValueError(f'missing must be "shared" or "zero", got {missing!r}')
+    value = lambda c: (F.col(c) if missing == "shared" else F.coalesce(F.col(c), F.lit(0.0))) if c in names else F.lit(None)
+    points = sims.select("src", "dst", *[value(c).cast("double").alias(c) for c in ("f0", "f1")])
+    x, y = F.col("f0"), F.col("f1")
+    vectors = points.groupBy("src", "f0", "f1").agg(F.min("dst").alias("id"))
+    vectors = vectors.withColumn("slice", F.least(F.floor(x * SLICES), F.lit(SLICES)).cast("int"))
+    lowest = F.bitwise_not("id")  # greatest for the lowest id
+    both = x.isNotNull() & y.isNotNull()
+
+    def best(of: Column, *order: Column) -> Column:
+        return F.max(F.when(of, F.struct(*order, lowest.alias("last"), F.col("id").alias("id"))))
+
+    found = {
+        "top": best(both, y.alias("f1"), x.alias("f0")),
+        "any_x": best(x.isNotNull(), x.alias("f0")),
+        "any_y": best(y.isNotNull(), y.alias("f1")),
+        "alone_x": best(x.isNotNull() & y.isNull(), x.alias("f0")),
+        "alone_y": best(y.isNotNull() & x.isNull(), y.alias("f1")),
+    }
+    by_slice = vectors.groupBy("src", "slice").agg(*[c.alias(name) for name, c in found.items()])
+    whole = Window.partitionBy("src")
+    earlier = whole.orderBy(F.col("slice").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = by_slice.select(
+        "src",
+        F.col("slice").alias("_slice"),
+        F.max("top").over(earlier).alias("before"),
+        *[F.max(c).over(whole).alias(c) for c in found if c != "top"],
+    )
+    here = Window.partitionBy("src", "slice").orderBy(x.desc_nulls_last(), y.desc_nulls_last())
+    here = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = vectors.withColumn("within", found["top"].over(here)).withColumnRenamed("src", "_src")
+    same = (F.col("_src") == F.col("src")) & F.col("slice").eqNullSafe(F.col("_slice"))
+    leader = F.greatest("within", "before")
+    beaten = (leader["f1"] > y) | ((leader["f1"] == y) & (leader["f0"] > x))
+    alone = F.when(F.col("alone_x")["f0"] > x, F.col("alone_x")["id"]).when(F.col("alone_y")["f1"] > y, F.col("alone_y")["id"])
+    by = (
+        F.when(both, F.when(beaten, leader["id"]).otherwise(alone))
+        .when(x.isNotNull(), F.when(F.col("any_x")["f0"] > x, F.col("any_x")["id"]))
+        .when(y.isNotNull(), F.when(F.col("any_y")["f1"] > y, F.col("any_y")["id"]))
+    )
+    beaten_by = swept.join(carried, same).select("src", x.alias("_f0"), y.alias("_f1"), by.alias("by")).where("by IS NOT NULL")
+    points = points.withColumnRenamed("src", "_src")
+    on = (F.col("_src") == F.col("src")) & F.col("f0").eqNullSafe(F.col("_f0")) & F.col("f1").eqNullSafe(F.col("_f1"))
+    return points.join(beaten_by, on).select("src", "dst", "by")
+
+
 def neighbour_counts(neighbours: DataFrame) -> DataFrame:
     """How many neighbours each ``src`` got."""
     return neighbours.groupBy("src").agg(F.count(F.lit(1)).alias("neighbours"))

@@ -277,6 +277,24 @@ def dominated_candidates(spark, sf):
     return covote.dominated(covote.feature_similarity(features(spark, sf)))
 
 
+def dominance_pairs(spark, sf):
+    """One dominator of each dominated candidate."""
+    return covote.dominance_witnesses(covote.feature_similarity(features(spark, sf)))
+
+
+def dominance_pairs_zero(spark, sf):
+    return covote.dominance_witnesses(covote.feature_similarity(features(spark, sf)), missing="zero")
+
+
+def mo_neighbours_preselected(spark, sf):
+    """Fronts among the N most similar by either feature."""
+    return covote.multi_objective_neighbours(features(spark, sf), FRONTS, preselect=N)
+
+
+def rec_multi_objective_preselected(spark, sf):
+    return covote.recommend_multi_objective(features(spark, sf), FRONTS, K, preselect=N)
+
+
 def mo_neighbours_one_feature(spark, sf):
     return covote.multi_objective_neighbours(features(spark, sf, 1), FRONTS)
 
@@ -365,6 +383,7 @@ QUERIES = {
         user_neighbours_literal, item_neighbours_literal, rec_user_cf_literal, rec_item_cf_literal, rec_hybrid_literal,
         rec_multi_objective_literal, rec_item_cf_unseen, rec_hybrid_unseen,
         feature_similarity, feature_text, most_similar, pareto_front, dominated_candidates,
+        dominance_pairs, dominance_pairs_zero, mo_neighbours_preselected, rec_multi_objective_preselected,
         mo_neighbours_one_feature, mo_neighbours_shared, mo_neighbours_zero,
         mo_neighbours_three_features, neighbour_counts,
         rec_multi_objective, rec_multi_objective_zero, rec_multi_objective_target,

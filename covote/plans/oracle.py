@@ -132,6 +132,42 @@ def fronts(count: int, missing: str, rounds: int) -> list[str]:
 FOUND = "SELECT src, dst, layer FROM found"
 
 
+def preselected(count: int) -> list[str]:
+    """CTEs like ``feats``, with the features of all but the N most similar of each absent."""
+    cols = [f"f{i}" for i in range(count)]
+    ranked = ", ".join(
+        f"CASE WHEN rank() OVER (PARTITION BY src ORDER BY {c} DESC NULLS LAST) <= {N} THEN {c} END AS {c}" for c in cols
+    )
+    *ctes, last = feats(count)
+    return [
+        *ctes,
+        last.replace("feats AS", "every_pair AS", 1),
+        f"kept AS (SELECT src, dst, {ranked} FROM every_pair)",
+        f"feats AS (SELECT * FROM kept WHERE {' OR '.join(f'{c} IS NOT NULL' for c in cols)})",
+    ]
+
+
+def witnesses(missing: str) -> str:
+    """Every dominator of every distinct vector is compared, and the one that is to be named comes first."""
+    value = "coalesce({c}, 0.0)" if missing == "zero" else "{c}"
+    return select(
+        "SELECT p.src, p.dst, n.by FROM points p JOIN named n ON n.src = p.src "
+        "AND n.f0 IS NOT DISTINCT FROM p.f0 AND n.f1 IS NOT DISTINCT FROM p.f1",
+        *feats(2),
+        f"points AS (SELECT src, dst, {value.format(c='f0')} AS f0, {value.format(c='f1')} AS f1 FROM feats)",
+        "vectors AS MATERIALIZED (SELECT src, f0, f1, min(dst) AS id FROM points GROUP BY src, f0, f1)",
+        """named AS (SELECT p.src, p.f0, p.f1, q.id AS by FROM vectors p JOIN vectors q ON p.src = q.src
+            AND coalesce(q.f0 >= p.f0, true) AND coalesce(q.f1 >= p.f1, true)
+            AND (coalesce(q.f0 > p.f0, false) OR coalesce(q.f1 > p.f1, false))
+            QUALIFY row_number() OVER (PARTITION BY p.src, p.f0, p.f1 ORDER BY
+                CASE WHEN p.f0 IS NULL OR p.f1 IS NULL OR (q.f0 IS NOT NULL AND q.f1 IS NOT NULL) THEN 0
+                     WHEN q.f1 IS NULL THEN 1 ELSE 2 END,
+                CASE WHEN p.f1 IS NULL OR q.f1 IS NULL THEN q.f0 ELSE q.f1 END DESC,
+                CASE WHEN p.f0 IS NOT NULL AND p.f1 IS NOT NULL AND q.f1 IS NOT NULL THEN q.f0 END DESC NULLS LAST,
+                q.id) = 1)""",
+    )
+
+
 def evaluation(*ctes: str) -> str:
     """Metrics of ``recs`` against ``held``."""
     nan = "CAST('NaN' AS DOUBLE)"
@@ -246,6 +282,10 @@ def statements() -> dict[str, str]:
         "dominated_candidates": select(
             "SELECT src, dst FROM feats EXCEPT SELECT src, dst FROM found", *feats(2), *fronts(2, "shared", 1)
         ),
+        "dominance_pairs": witnesses("shared"),
+        "dominance_pairs_zero": witnesses("zero"),
+        "mo_neighbours_preselected": select(FOUND, *preselected(2), *fronts(2, "shared", FRONTS)),
+        "rec_multi_objective_preselected": select(RECS, *preselected(2), *mo),
         "mo_neighbours_one_feature": select(FOUND, *feats(1), *fronts(1, "shared", FRONTS)),
         "mo_neighbours_shared": select(FOUND, *feats(2), *fronts(2, "shared", FRONTS)),
         "mo_neighbours_zero": select(FOUND, *feats(2), *fronts(2, "zero", FRONTS)),
