@@ -29,6 +29,6 @@ from covote.plans.recommend import (
     user_neighbours,
 )
 from covote.sources.chunks import chunk_by_user, number_chunks, write_chunks
-from covote.sources.wide import from_rows, parse_wide, read_wide, wide_lines, write_pairs
+from covote.sources.wide import checked_wide, from_rows, parse_wide, read_wide, read_wide_checked, wide_lines, write_pairs
 from covote.streaming.deltas import SimilarityStore, replay_in_order
 from covote.streaming.replay import chunk_stream, replay_chunks, stored_interactions

@@ -236,11 +236,13 @@ def feature_rows(sims: DataFrame) -> DataFrame:
 def most_similar(sims: DataFrame, m: int) -> DataFrame:
     """Keep, per feature, the ``m`` most similar of each ``src`` with ties; drop pairs left with none.
 
-    A pre-selection that makes later steps cheaper and may change their result.
+    A pre-selection that makes later steps cheaper and may change their result. The features are ranked one
+    below the other, so that one window serves all and Spark cuts a ``src`` with very many candidates
+    before the shuffle.
     """
-    kept = sims
     names = feature_columns(sims)
-    for c in names:
-        rank = F.rank().over(Window.partitionBy("src").orderBy(F.col(c).desc_nulls_last()))
-        kept = kept.withColumn(c, F.when(rank <= m, F.col(c)))
-    return kept.where(F.coalesce(*names).isNotNull())
+    rank = F.rank().over(Window.partitionBy("src", "feature").orderBy(F.col("sim").desc()))
+    first = feature_rows(sims).withColumn("place", rank).where(F.col("place") <= m)
+    return first.groupBy("src", "dst").agg(
+        *[F.max(F.when(F.col("feature") == int(c[1:]), F.col("sim"))).alias(c) for c in names]
+    )

@@ -53,6 +53,21 @@ def read_wide(spark: SparkSession, sf: str) -> DataFrame:
     return covote.read_wide(spark, path)
 
 
+def read_wide_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each bad token occurs, after some lines have been spoilt, and how many pairs are good."""
+    path = scratch_path(spark, "spoilt")
+    lines = covote.wide_lines(covote.chunk_by_user(inter(spark, sf)))
+    user = F.split_part("value", F.lit(","), F.lit(1)).cast("long")
+    spoilt = (
+        F.when(user % 50 == 0, F.concat(F.lit("u"), "value"))
+        .when(user % 50 == 1, F.concat("value", F.lit(",12 ,,99999999999999999999")))
+        .otherwise(F.col("value"))
+    )
+    lines.select(spoilt.alias("value")).write.text(path)
+    found = covote.read_wide_checked(spark, path).where(F.col("file").isNotNull())
+    return found.groupBy("token", "reason").agg(F.count(F.lit(1)).alias("times"), F.count("item").alias("pairs"))
+
+
 def write_pairs(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "pairs")
     covote.write_pairs(inter(spark, sf), path, format="csv")
@@ -371,7 +386,7 @@ def evaluation_report(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        read_wide, write_pairs, chunk_by_user, number_chunks, replay_chunks,
+        read_wide, read_wide_rejects, write_pairs, chunk_by_user, number_chunks, replay_chunks,
         replay_neighbours, replay_recommendations,
         interaction_counts, target_users, id_bounds, sum_values, count_containing,
         left_outer_interactions, popular_items,

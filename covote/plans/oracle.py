@@ -198,6 +198,13 @@ def statements() -> dict[str, str]:
     user_evaluation = evaluation(*trained)
     return {
         "read_wide": same_rows,
+        "read_wide_rejects": select(
+            """SELECT 'u' || "user" AS token, 'user' AS reason, lines AS times, 0::BIGINT AS pairs FROM per WHERE "user" % 50 = 0
+            UNION ALL SELECT t, r, sum(lines)::BIGINT, 0 FROM per, (VALUES ('12 ', 'item'), ('', 'item'),
+                ('99999999999999999999', 'item range')) v(t, r) WHERE "user" % 50 = 1 GROUP BY t, r
+            UNION ALL SELECT NULL, NULL, sum(n)::BIGINT, sum(n)::BIGINT FROM per WHERE "user" % 50 <> 0""",
+            INTER, 'per AS (SELECT "user", count(*) AS n, (count(*) + 19) // 20 AS lines FROM inter GROUP BY "user")',
+        ),
         "write_pairs": same_rows,
         "replay_chunks": same_rows,
         "replay_neighbours": select(NBRS, INTER, sims("inter"), nbrs()),

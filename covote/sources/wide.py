@@ -38,6 +38,37 @@ def parse_wide(lines: DataFrame, mode: str = "FAILFAST") -> DataFrame:
     return pairs
 
 
+def checked_wide(lines: DataFrame, *keep: str) -> DataFrame:
+    """Lines of the wide form in one pass, good pairs and bad tokens apart: ``user, item, token, reason`` and the columns ``keep``.
+
+    A good pair has no reason. A line whose user is bad is one row, with the text of the user as token; otherwise
+    each bad item is one. The reasons: ``user`` or ``item`` for text that is no whole number, ``user range``
+    or ``item range`` for one beyond a BIGINT. Lines without items give nothing, but for a bad user.
+    """
+    fields = F.split(F.regexp_replace("value", ",+$", ""), ",")
+    split = lines.select(*keep, F.element_at(fields, 1).alias("u"), F.slice(fields, 2, 2147483647).alias("items"))
+    number = lambda c: F.when(F.col(c).rlike(ID), F.col(c).try_cast("long"))
+    wrong = lambda c, what: F.when(~F.col(c).rlike(ID), F.lit(what)).otherwise(F.lit(f"{what} range"))
+    split = split.withColumn("user", number("u"))
+    # a bad user stands for its whole line
+    tokens = F.when(F.col("user").isNull(), F.array(F.lit(None).cast("string"))).otherwise(F.col("items"))
+    rows = split.withColumn("t", F.explode(tokens)).withColumn("item", number("t"))
+    bad_user, bad_item = F.col("user").isNull(), F.col("item").isNull()
+    return rows.select(
+        F.when(~bad_item, F.col("user")).alias("user"),
+        "item",
+        F.when(bad_user, F.col("u")).when(bad_item, F.col("t")).alias("token"),
+        F.when(bad_user, wrong("u", "user")).when(bad_item, wrong("t", "item")).alias("reason"),
+        *keep,
+    )
+
+
+def read_wide_checked(spark: SparkSession, path: str) -> DataFrame:
+    """``checked_wide`` of text files, with the ``file`` each row is from."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return checked_wide(lines, "file")
+
+
 def read_wide(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
     """Interactions from text files in the wide form."""
     return parse_wide(spark.read.text(path), mode)

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import covote
 from covote import Skew
@@ -104,3 +105,36 @@ def test_base_data_decides_the_votes(spark):
     assert items(1) == {(1, 9), (2, 9)}
     plain = covote.recommend_multi_objective([first, second], 1, 5, preselect=5)
     assert {(r["user"], r["item"]) for r in plain.collect()} == items(0)
+
+
+@pytest.mark.parametrize("missing", ["shared", "zero"])
+def test_witnesses_dominate(spark, missing):
+    """Every dominated candidate has one witness, which dominates it; ties and absent features included."""
+    rng = random.Random(8)
+    some = [None, 0.0, 0.25, 0.5, 0.75, 1.0, 0.015625]
+    rows = [(src, dst, rng.choice(some), rng.choice(some)) for src in range(12) for dst in range(rng.choice([1, 2, 9, 40]))]
+    rows = [r for r in rows if r[2] is not None or r[3] is not None]
+    got = covote.dominance_witnesses(spark.createDataFrame(rows, "src long, dst long, f0 double, f1 double"), missing=missing)
+    by = {(r["src"], r["dst"]): r["by"] for r in got.collect()}
+    vectors = {r[:2]: [0.0 if v is None and missing == "zero" else v for v in r[2:]] for r in rows}
+
+    def beats(q, p):
+        both = [(a, b) for a, b in zip(q, p, strict=True) if a is not None and b is not None]
+        return all(a >= b for a, b in both) and any(a > b for a, b in both)
+
+    dominated = {k for k, p in vectors.items() if any(j[0] == k[0] and beats(q, p) for j, q in vectors.items())}
+    assert set(by) == dominated and got.count() == len(dominated)
+    assert all(beats(vectors[k[0], v], vectors[k]) for k, v in by.items())
+    one = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.75), (1, 4, 0.75), (1, 5, None)], "src long, dst long, f0 double")
+    found = {tuple(r) for r in covote.dominance_witnesses(one, missing=missing).collect()}
+    assert found == {(1, 2, 3)} | ({(1, 5, 3)} if missing == "zero" else set())
+    with pytest.raises(ValueError):
+        covote.dominance_witnesses(covote.feature_similarity([one.select(F.col("src").alias("user"), F.col("dst").alias("item"))] * 3))
+
+
+def test_preselection_is_cut_before_the_shuffle(spark):
+    sims = spark.createDataFrame([(1, d, d / 10, 1 - d / 10) for d in range(10)], "src long, dst long, f0 double, f1 double")
+    kept = covote.most_similar(sims, 2)
+    assert {tuple(r) for r in kept.collect()} == {(1, 9, 0.9, None), (1, 8, 0.8, None), (1, 0, None, 1.0), (1, 1, None, 0.9)}
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("WindowGroupLimit") < plan.rindex("WindowGroupLimit")  # before and after the exchange

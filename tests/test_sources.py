@@ -33,6 +33,22 @@ def test_malformed_lines(spark, bad):
         covote.parse_wide(lines(spark, bad), "PERMISSIVE")
 
 
+def test_rejected_tokens_keep_their_file_and_reason(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("1,2,3\n2,,x,7,\nboss,1,2\n\n3\n 4,5\n99999999999999999999,1\n")
+    (tmp_path / "b.txt").write_text("5,-6,+7,1.5,99999999999999999999\n")
+    got = [(r.user, r.item, r.token, r.reason, r.file[-5:]) for r in covote.read_wide_checked(spark, str(tmp_path)).collect()]
+    assert Counter(g for g in got if g[3] is None) == Counter(
+        [(1, 2, None, None, "a.txt"), (1, 3, None, None, "a.txt"), (2, 7, None, None, "a.txt"), (5, -6, None, None, "b.txt"), (5, 7, None, None, "b.txt")]
+    )
+    assert Counter(g[2:] for g in got if g[3]) == Counter(
+        [("", "item", "a.txt"), ("x", "item", "a.txt"), ("boss", "user", "a.txt"), ("", "user", "a.txt"), (" 4", "user", "a.txt"),
+         ("99999999999999999999", "user range", "a.txt"), ("1.5", "item", "b.txt"), ("99999999999999999999", "item range", "b.txt")]
+    )
+    assert all(g[0] is None and g[1] is None for g in got if g[3])
+    dropped = covote.read_wide(spark, str(tmp_path), "DROPMALFORMED")
+    assert rows_of(dropped) == Counter(g[:2] for g in got if g[3] is None)
+
+
 def chunked_rows(size):
     rows = [(1, i) for i in range(0, 300, 3)] + [(2, 10**12 + i * i) for i in range(47)] + [(3, -4)]
     rows += [(5, i) for i in (-(2**63), 2**63 - 1, 0, 1, 2, -(2**62), 2**62, 3)]
