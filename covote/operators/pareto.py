@@ -11,15 +11,17 @@ the same among the rest, until a ``src`` has n. Fronts are never cut, so it may
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from covote.operators.lineage import cut_lineage
+from covote.operators.lineage import cut_lineage, stored
 from covote.operators.neighbours import check_size
 from covote.operators.similarity import feature_columns
-from covote.operators.skew import DEFAULT_SKEW, Skew, heavy_keys, key_counts, own_slice, tag_heavy
+from covote.operators.skew import DEFAULT_SKEW, Skew, heavy_keys, key_counts, most_rows, own_slice, tag_heavy
 
 ROUNDS_PER_PLAN = 10
 BLOCK_VALUES = 4_000_000  # comparisons held in memory at once by the pandas helper
@@ -38,7 +40,10 @@ def pareto_neighbours(
     if len(names) == 1:
         return _one_feature(points, n)
     if len(names) == 2:
-        return _two_features(points, n)
+        thin = stored(_thin(points, names, n), "candidates")
+        if most_rows(thin, "src") > skew.block:
+            return _rounds(thin, n, lambda left: dominance_witnesses(left).select("src", "dst"))
+        return _two_features(thin, n)
     return _many_features(points, names, n, skew)
 
 
@@ -153,7 +158,7 @@ def _two_features(points: DataFrame, n: int) -> DataFrame:
     Every round adds at least one candidate per unfinished ``src`` or changes nothing more.
     """
     x, y = F.col("f0"), F.col("f1")
-    points = _thin(points, ["f0", "f1"], n).withColumn("layer", F.lit(None).cast("int"))
+    points = points.withColumn("layer", F.lit(None).cast("int"))
 
     everyone = Window.partitionBy("src")
     so_far = everyone.orderBy(x.desc_nulls_last(), y.desc_nulls_last()).rowsBetween(
@@ -191,12 +196,91 @@ def _two_features(points: DataFrame, n: int) -> DataFrame:
     return points.where(F.col("layer").isNotNull()).select("src", "dst", "layer")
 
 
+def _rounds(points: DataFrame, n: int, dominated_of) -> DataFrame:
+    """The fronts one after the other, for any ``src`` size: ``dominated_of(points left)`` are those not in the next front.
+
+    Each round is kept in the shared folder, and only while some ``src`` has fewer than n is there another.
+    """
+    left, layers = points, []
+    for round_ in range(1, n + 1):
+        behind = stored(dominated_of(left), "dominated")
+        front = stored(left.join(behind, ["src", "dst"], "left_anti").select("src", "dst", F.lit(round_).alias("layer")), "front")
+        layers.append(front)
+        chosen = reduce(DataFrame.unionByName, layers).groupBy("src").agg(F.count(F.lit(1)).alias("chosen"))
+        # an empty front means that those left dominate each other in a circle
+        open_ = chosen.where(F.col("chosen") < n).join(front.select("src").distinct(), "src", "left_semi").select("src")
+        left = stored(left.join(behind, ["src", "dst"], "left_semi").join(open_, "src", "left_semi"), "left")
+        if left.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, layers)
+
+
+GRID = 4  # cells of a feature
+
+
+def _slices(vectors: DataFrame, names: list[str], skew: Skew) -> DataFrame:
+    """``vectors`` with the ``slice`` each is in: a cell of a grid, and if that holds more than ``skew.block``, a part of it."""
+    cell = F.concat_ws(",", *[F.when(F.col(c) < 0, -1).otherwise(F.floor(F.col(c) * GRID)).cast("string") for c in names])
+    placed = vectors.withColumn("spot", F.struct("src", cell.alias("cell")))
+    tagged = tag_heavy(placed, "spot", heavy_keys(key_counts(placed, "spot"), "spot", skew))
+    part = F.concat_ws("/", F.col("spot.cell"), own_slice(*names).cast("string"))
+    return tagged.select(*vectors.columns, part.alias("slice"))
+
+
+def _dominated_by_slices(names: list[str], skew: Skew):
+    """Those of ``src, dst, names`` that are dominated, for a ``src`` of any size.
+
+    Vectors are cut into slices by a grid. What is dominated within its slice goes at once; what is
+    left is compared with every slice whose corner of greatest values is not below its own corner of least ones.
+    A slice is compared whole, since with absent features a dominated vector may be the only one to dominate another.
+    No group holds more than two slices, of about ``skew.block`` vectors each.
+    """
+
+    def dominated_of(points: DataFrame) -> DataFrame:
+        vectors = points.groupBy("src", *names).agg(F.count(F.lit(1)).alias("size"))
+        sliced = stored(_slices(vectors, names, skew), "slices")
+        schema = sliced.schema
+
+        def in_front(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pdf[_dominators(pdf[names].to_numpy(), pdf["size"].to_numpy()) == 0]
+
+        front = stored(sliced.groupBy("src", "slice").applyInPandas(in_front, schema), "local-fronts")
+        # an absent feature is never compared, so it bounds nothing
+        least = [F.min(F.when(F.col(c) < 0, -1.0).otherwise(F.col(c))).alias(f"least_{c}") for c in names]
+        most = [F.max(F.when(F.col(c) < 0, 2.0).otherwise(F.col(c))).alias(f"most_{c}") for c in names]
+        mine = front.groupBy("src", "slice").agg(*least)
+        other = sliced.groupBy("src", F.col("slice").alias("rival")).agg(*most)
+        reach = reduce(lambda a, b: a & b, [F.col(f"most_{c}") >= F.col(f"least_{c}") for c in names])
+        pairs = stored(mine.join(other, "src").where(reach & (F.col("slice") != F.col("rival"))).select("src", "slice", "rival"), "slice-pairs")
+        left = front.join(pairs, ["src", "slice"])
+        right = sliced.withColumnRenamed("slice", "rival").join(pairs, ["src", "rival"])
+        right = right.select(*[F.col(c).alias(f"r_{c}") for c in ("src", "slice", "rival")], *names, "size")
+
+        def beaten(mine: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+            own = mine[names].to_numpy()
+            both = np.vstack([own, other[names].to_numpy()])
+            weight = np.r_[np.zeros(len(own), np.int64), np.ones(len(other), np.int64)]
+            return mine[_dominators(both, weight)[: len(own)] > 0][["src", *names]]
+
+        by_rivals = (
+            left.groupBy("src", "slice", "rival")
+            .cogroup(right.groupBy("r_src", "r_slice", "r_rival"))
+            .applyInPandas(beaten, f"src long, {', '.join(f'{c} double' for c in names)}")
+            .distinct()
+        )
+        stay = front.join(by_rivals, ["src", *names], "left_anti").select("src", *names)
+        return points.join(stay, ["src", *names], "left_anti").select("src", "dst")
+
+    return dominated_of
+
+
 def _many_features(points: DataFrame, names: list[str], n: int, skew: Skew) -> DataFrame:
     """Three features and more, in pandas on groups that Spark keeps small.
 
     The groups are distinct vectors, so that ties of any number are one row. First come
     slices of at most ``skew.block`` vectors, to drop those with n better ones; then what is
-    left of each ``src``.
+    left of each ``src``, if this is no more than such a slice for any, and otherwise slices
+    against slices, front by front.
     """
     absent = F.lit(-1.0)  # below every cosine, and unlike NULL it can be grouped and joined on
     filled = [F.coalesce(F.col(c), absent).alias(c) for c in names]
@@ -228,11 +312,12 @@ def _many_features(points: DataFrame, names: list[str], n: int, skew: Skew) -> D
             chosen += int(size[front].sum())
         return pdf[["src", *names]].assign(layer=layer)[layer > 0]
 
-    layered = (
-        sliced.groupBy("src", "has", "slice")
-        .applyInPandas(reachable, sliced.schema)
-        .groupBy("src")
-        .applyInPandas(layers, f"src long, {', '.join(f'{c} double' for c in names)}, layer int")
+    reached = stored(sliced.groupBy("src", "has", "slice").applyInPandas(reachable, sliced.schema), "reachable")
+    if most_rows(reached, "src") > skew.block:
+        left = points.select("src", "dst", *filled).join(reached.select("src", *names), ["src", *names], "left_semi")
+        return _rounds(stored(left, "candidates"), n, _dominated_by_slices(names, skew))
+    layered = reached.groupBy("src").applyInPandas(
+        layers, f"src long, {', '.join(f'{c} double' for c in names)}, layer int"
     )
     return (
         points.select("src", "dst", *filled)
