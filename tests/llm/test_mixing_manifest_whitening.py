@@ -254,3 +254,23 @@ def test_divide_and_conquer(spectrum):
 @pytest.mark.parametrize("operator", [mixing.planned, mixing.mixed, manifest.verified], ids=lambda f: f.__name__)
 def test_no_rows(spark, operator):
     assert operator(docs(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("name", ["op11_mixing", "op12_manifest"])
+def test_query_equals_sql(spark, name):
+    from pathlib import Path
+
+    import __spark_entry__ as contract
+
+    duckdb = pytest.importorskip("duckdb")
+    data = Path("/root/testdata/sf0.001")
+    if not data.is_dir():
+        pytest.skip("test tables are not here")
+    tables = duckdb.connect()
+    tables.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    got = contract.queries()[name](spark, str(data)).toPandas()
+    expected = tables.execute(contract.oracle_sql()[name]).fetchdf()[list(got.columns)]
+    order = ["doc_id", *[c for c in got.columns if c != "doc_id"]]
+    got, expected = (df.sort_values(order).reset_index(drop=True) for df in (got, expected))
+    assert len(got) == len(expected) > 0
+    assert all(got[c].equals(expected[c].astype(got[c].dtype)) for c in got.columns)
