@@ -30,8 +30,9 @@ LINEAR, QUADRATIC = 1.0, 1.0 / CAPACITY
 def encoder(vocabulary: str, pattern: str):
     """An encoder of the byte-level BPE in a tokenizer's JSON file, whose ids are in order of the merges.
 
-    The merges run in ``tiktoken``, which takes a third of the time of ``tokenizers`` for the same ids;
-    strings of special tokens in a text are ordinary text.
+    The merges run in ``tiktoken``, which takes a third of the time of ``tokenizers`` for the same ids. An added
+    token of the file has its own id wherever its string stands in a text, as in ``tokenizers``. Ones that take
+    blanks or word ends into account are not supported.
     """
     import json
 
@@ -39,10 +40,13 @@ def encoder(vocabulary: str, pattern: str):
 
     with open(vocabulary, encoding="utf-8") as f:
         described = json.load(f)
-    special = {t["content"] for t in described.get("added_tokens", [])}
+    added = described.get("added_tokens", [])
+    if any(t[rule] for t in added for rule in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens with rules of their own are not supported")
+    special = {t["content"]: t["id"] for t in added}
     as_byte = {c: b for b, c in byte_letters().items()}
     ranks = {bytes(as_byte[c] for c in piece): k for piece, k in described["model"]["vocab"].items() if piece not in special}
-    return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
 def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -101,7 +105,7 @@ def packed(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPAC
     """
 
     def packing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(vocabulary, pattern).encode_ordinary
+        encoding = encoder(vocabulary, pattern)
         base = TaskContext.get().partitionId() << 33
 
         def closed(ids: list, tokens: list[bytes], base: int) -> tuple[pd.DataFrame, int]:
@@ -120,7 +124,7 @@ def packed(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPAC
         for rows in batches:
             for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
                 ids.append(None if pd.isna(doc_id) else int(doc_id))
-                tokens.append(np.array([*encode(text or ""), END], "<u4").tobytes())
+                tokens.append(np.array([*encoding.encode(text or "", allowed_special="all"), END], "<u4").tobytes())
                 held += len(tokens[-1]) // 4
                 if held >= block:
                     out, base = closed(ids, tokens, base)

@@ -88,8 +88,8 @@ def test_packing_is_the_tokenizers_ids(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
-    texts = [*AWKWARD, "<|endoftext|> 's  x", *(prose(k, 40 * k) for k in range(30))]
+    special = ["<|endoftext|> 's  x", "a <|endoftext|> b", "<|endoftext|><|endoftext|>\n<|endoftext", " <|endoftext|>é"]
+    texts = [*AWKWARD, *special, *(prose(k, 40 * k) for k in range(30))]
     rows = packing.packed(docs(spark, texts).coalesce(1), JSON, public_tokenizers.PATTERN).collect()
     by_doc, by_sequence = {}, {}
     for r in rows:
