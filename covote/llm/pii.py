@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from covote.llm.common import kept
 
 KEY = "surrogates-1"
+ROUNDS = 64  # of drawing again
 SUBSCRIBER = 10  # digits of a phone number without the code of its country, which stays
 
 # Titles and given names that mark a person, by gender.
@@ -51,7 +52,8 @@ PATTERNS = {
     "person": rf"(?<!\p{{L}})(?:(?:{_TITLES})\.? {_WORD}(?: {_WORD})?|(?:{_NAMES}) {_WORD})",
 }
 ANY = "|".join(PATTERNS.values())
-HINT = rf"[0-9@]|(?<!\p{{L}})(?:{_TITLES}|{_NAMES})[. ]"  # no entity is without one of these
+# no entity is without one of these; the secrets are those that may have no digit
+HINT = rf"[0-9@]|(?:sk|pk|ghp|gho|xoxb)[_-][A-Za-z_-]{{16}}|AKIA[A-Z]{{16}}|[a-f]{{32}}|[A-F]{{32}}|(?<!\p{{L}})(?:{_TITLES}|{_NAMES})[. ]"
 
 
 def alike(text: Column, pattern: str) -> Column:
@@ -173,6 +175,8 @@ def surrogate(kind_: Column, canon: Column, attempt: Column, key: str = KEY) ->
     labels = F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1)
     email = F.concat(
         redrawn(F.substring_index(canon, "@", 1), hexes, F.lit(0)),
+        # from the third draw on a letter more each time, so there is no end of addresses
+        F.substr(F.translate(hexes, "0123456789", "ghijklmnop"), F.lit(1), F.greatest(attempt - 2, F.lit(0))),
         F.lit("@"),
         redrawn(labels, stream(F.lit("domain"), domain, F.lit(0), key), F.lit(0)),
         F.regexp_extract(domain, r"(\.[^.]*)$", 1),
@@ -259,10 +263,12 @@ def redraws(entities: DataFrame, key: str = KEY) -> DataFrame:
     """``kind, canon, attempt`` of the entities whose first draw is taken or is itself an entity.
 
     ``entities`` are distinct. Each round finds, by aggregation, the surrogates that several entities
-    hold and lets all but the one of fewest draws and least canon draw again; it ends when all differ.
+    hold and lets all but the one of fewest draws and least canon draw again; it ends when all differ. Names
+    and addresses grow, so they always come to differ. Numbers keep their digits: if there are nearly as many
+    entities of a form as there are numbers, some may still be taken after ``ROUNDS`` rounds, and stay so.
     """
     held = kept(entities.select("kind", "canon", F.lit(0).alias("attempt")), "entities")
-    while True:
+    for _ in range(ROUNDS):
         drawn = held.withColumn("s", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key))
         owner = drawn.groupBy("kind", "s").agg(
             F.min(F.struct("attempt", "canon")).alias("o"), F.count(F.lit(1)).alias("n")
@@ -271,13 +277,14 @@ def redraws(entities: DataFrame, key: str = KEY) -> DataFrame:
         real = drawn.join(held.select("kind", F.col("canon").alias("s")), ["kind", "s"], "left_semi").select("kind", "canon")
         again = kept(late.unionByName(real).distinct(), "taken")
         if again.isEmpty():
-            return held.where("attempt > 0")
+            break
         held = kept(
             held.join(again.withColumn("more", F.lit(1)), ["kind", "canon"], "left").select(
                 "kind", "canon", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")
             ),
             "entities",
         )
+    return held.where("attempt > 0")
 
 
 def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:

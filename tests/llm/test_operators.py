@@ -317,3 +317,15 @@ def test_nearest_neighbours(spark):
 def test_digests_of_nothing(spark):
     row = bpe.digests(docs(spark, [None]), RANKS, public_tokenizers.PATTERN).first()
     assert (row.n_tokens, row.ids_sha256, row.decoded_sha256) == (0, hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest())
+
+
+def test_pii_without_digits_and_with_few_letters(spark):
+    """Secrets of letters alone are found on their own, and addresses of one odd letter come to differ."""
+    odd = [f"{c}@b.co" for c in "àâäãåæéèêë"]
+    secret = "sk-abcdefghijklmnopqrstuv"
+    texts = [f"key {secret} here", f"key {secret} here 1", "AKIA" + "Q" * 16, "abcdef" * 6, "no secrets", *odd]
+    rows = {r.doc_id: r for r in pii.replace_pii(docs(spark, texts)).collect()}
+    assert [rows[k].n_entities for k in range(5)] == [1, 1, 1, 1, 0]
+    assert secret not in rows[0].text and rows[1].text == f"{rows[0].text} 1"
+    addresses = {rows[5 + k].text for k in range(len(odd))}
+    assert len(addresses) == len(odd) and not addresses & set(odd)
