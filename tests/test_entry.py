@@ -16,7 +16,8 @@ SOME = [
     "read_wide", "chunk_by_user", "left_outer_interactions", "item_similarity", "item_neighbours_target",
     "rec_user_cf_unseen", "event_neighbours_with_ties", "feature_text", "unseen_items", "evaluation_report",
     "evaluate_multi_objective", "rec_item_cf_other_data", "rec_hybrid_target", "most_similar", "mo_neighbours_shared",
-    "mo_neighbours_three_features", "evaluate_item_cf",
+    "mo_neighbours_three_features", "evaluate_item_cf", "dominance_pairs", "replay_neighbours", "read_wide_rejects",
+    "rec_hybrid_literal", "rec_multi_objective_preselected",
 ]
 duckdb = pytest.importorskip("duckdb")
 
