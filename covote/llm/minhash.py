@@ -3,9 +3,11 @@
 A sketch takes the two shingles of least hash, with equal shingles of a text told apart by their
 occurrence, and keeps them in text order, so it is sensitive to edits and to order. Documents that
 share a sketch are compared with the least document of that sketch, and again of each run of two
-and of four sketches. What this does not bring into one class is then compared pair by pair: the
-documents of different classes that share enough sketches. A pair that shares enough sketches is
-verified by a banded alignment of the shingles. Links are closed to classes.
+and of four sketches. For what this does not bring into one class the documents are divided by one
+sketch after the other, as in a prefix tree and in many orders of the sketches, until a block is
+small; within blocks all pairs of different classes meet. So a family of m documents that are alike,
+but not enough, costs about m times the orders and not its square. A pair that shares enough sketches
+is verified by a banded alignment of the shingles. Links are closed to classes.
 
 Texts are compared as lower-case words between white space; a shingle is a run of five words.
 Equal texts are one representative before anything else, so copies cost nothing.
@@ -15,7 +17,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import combinations
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,10 +28,12 @@ from covote.llm.common import WordCodes, components, kept, mix, occurrences, see
 
 SIZE = 5  # words in a shingle
 SIMILARITY = 0.8
-SKETCHES = 16  # two documents of similarity 0.8 share about ten of them
-SHARED = 4  # of which at least so many make a pair worth verifying: missed with chance 0.0005
+SKETCHES = 24  # two documents of similarity 0.8 share about fifteen of them
+SHARED = 7  # of which at least so many make a pair worth verifying: missed with chance 0.0005
+STARS = 16  # sketches whose least document is met
 DEPTHS = (1, 2, 4)  # sketches in a row that documents meet on
-SLICE = 256  # members of a key that meet in one cell
+ORDERS = 32  # in which the documents are divided to blocks
+BLOCK = 16  # documents of which all pairs meet
 
 
 def coded(text: str, cache: WordCodes) -> np.ndarray:
@@ -108,9 +112,9 @@ def candidates(reps: DataFrame, shared: int = SHARED, similarity: float = SIMILA
     """Pairs ``a > b`` worth verifying: each document and the least one of each key it has."""
     s = F.col("sketch")
     keys = [
-        F.xxhash64(F.lit(depth), F.lit(i), *[s[(i + k) % SKETCHES] for k in range(depth)])
+        F.xxhash64(F.lit(depth), F.lit(i), *[s[(i + k) % STARS] for k in range(depth)])
         for depth in DEPTHS
-        for i in range(SKETCHES)
+        for i in range(STARS)
     ]
     keyed = reps.select(F.explode(F.array(keys)).alias("key"), F.col("rep").alias("a"))
     least = keyed.groupBy("key").agg(F.min("a").alias("b"), F.max("a").alias("most")).where("b < most").select("key", "b")
@@ -128,51 +132,74 @@ def candidates(reps: DataFrame, shared: int = SHARED, similarity: float = SIMILA
     )
 
 
-def covering(shared: int = SHARED, sketches: int = SKETCHES) -> list[tuple[int, ...]]:
-    """Pairs of sketches of which any two documents with ``shared`` equal sketches have one in common.
+def sketch_orders(count: int = ORDERS, sketches: int = SKETCHES) -> list[list[int]]:
+    return [np.random.default_rng(k).permutation(sketches).tolist() for k in range(count)]
 
-    The sketches are dealt to ``shared`` - 1 hands, so two of the equal ones are in the same hand.
+
+def blocks(rows: DataFrame, orders: list[list[int]], part: int = BLOCK) -> tuple[DataFrame, DataFrame | None]:
+    """``key, rep`` of the blocks of 2 to ``part`` documents, and of those larger ones that no sketch divides.
+
+    ``rows``: ``rep, root, sketch``. All orders start with two sketches; a key with more than ``part``
+    members is divided by the next sketch of its order. Keys whose members are of one class are left
+    out. A round counts the members with partial sums, so no task gets a key's members.
     """
-    if shared < 2:
-        return [(i,) for i in range(sketches)]
-    return [p for k in range(shared - 1) for p in combinations(range(k, sketches, shared - 1), 2)]
+    s, small, depth = F.col("sketch"), [], 2
+    first = [F.struct(F.lit(k).alias("o"), F.xxhash64(F.lit(k), s[o[0]], s[o[1]]).alias("key")) for k, o in enumerate(orders)]
+    live = rows.select("rep", "root", F.explode(F.array(first)).alias("at")).select("rep", "root", "at.o", "at.key")
+    while True:
+        counted = live.groupBy("key").agg(
+            F.count(F.lit(1)).alias("m"), F.min("root").alias("x"), F.max("root").alias("y")
+        )
+        placed = kept(live.join(counted.where("x < y").select("key", "m"), "key"), "divided")
+        small.append(placed.where(F.col("m") <= part).select("key", "rep"))
+        large = placed.where(F.col("m") > part)
+        if large.isEmpty():
+            large = None
+            break
+        if depth == len(orders[0]):
+            break
+        place = F.array(*[F.lit(o[depth]) for o in orders])[F.col("o")]
+        live = large.select("rep", "root", "o", "key").join(rows.select("rep", "sketch"), "rep")
+        live = live.select("rep", "root", "o", F.xxhash64("key", s[place]).alias("key"))
+        depth += 1
+    return reduce(DataFrame.unionByName, small), None if large is None else large.select("key", "rep")
 
 
 def unlinked(
-    reps: DataFrame, roots: DataFrame, shared: int = SHARED, similarity: float = SIMILARITY, part: int = SLICE
+    reps: DataFrame, roots: DataFrame, shared: int = SHARED, similarity: float = SIMILARITY, part: int = BLOCK
 ) -> DataFrame:
-    """All pairs ``a > b`` worth verifying that are not in one class of ``roots`` yet.
+    """Pairs ``a > b`` worth verifying that are not in one class of ``roots`` yet.
 
-    The members of a key are cut into slices, and any two slices meet in a cell of their own, so no
-    task gets a whole key; keys whose members are of one class are left out.
+    All pairs of a block meet; in blocks that no sketch divides each document meets the least one.
     """
-    s = F.col("sketch")
-    keys = [F.xxhash64(F.lit(k), *[s[i] for i in at]) for k, at in enumerate(covering(shared))]
     rows = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     rows = kept(rows.select("rep", "n", "sketch", F.coalesce("root", "rep").alias("root")), "rooted")
-    keyed = rows.select(F.explode(F.array(keys)).alias("key"), "rep", "root")
-    open_ = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("x"), F.max("root").alias("y"))
-    open_ = open_.where("x < y").select("key", F.ceil(F.col("m") / part).cast("int").alias("slices"))
-    placed = keyed.join(open_, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int"))
-    placed = kept(placed.select("key", "rep", "slices", "own"), "open-keys")
-    other = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
-    celled = placed.select("key", "rep", "own", other.alias("other")).select(
-        "key", "rep", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v")
-    )
-    wide = rows.select("rep", "root", "n", *[s[i].alias(f"s{i}") for i in range(SKETCHES)])
-    celled = celled.join(wide, "rep").hint("merge")
-    left = celled.select("key", "u", "v", *[F.col(c).alias(f"a_{c}") for c in wide.columns])
-    right = celled.select("key", "u", "v", *[F.col(c).alias(f"b_{c}") for c in wide.columns])
-    agree = sum((F.col(f"a_s{i}") == F.col(f"b_s{i}")).cast("int") for i in range(SKETCHES))
-    near = (F.col("a_rep") > F.col("b_rep")) & (F.col("a_root") != F.col("b_root")) & (agree >= shared)
-    alike = F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n")
-    on = [left[c] == right[c] for c in ("key", "u", "v")]
-    pairs = left.join(right, [*on, near, alike])
-    return pairs.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct()
+    small, alike = blocks(rows.drop("n"), sketch_orders(), part)
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some in batches:
+            found = []
+            for members in some["members"]:
+                rep, root, n = (np.array([x[c] for x in members]) for c in ("rep", "root", "n"))
+                codes = np.stack([np.asarray(x["sketch"]) for x in members])
+                agree = (codes[:, None] == codes[None]).sum(axis=2)
+                near = np.minimum(n[:, None], n) >= similarity * np.maximum(n[:, None], n)
+                i, j = np.nonzero((rep[:, None] > rep) & (root[:, None] != root) & (agree >= shared) & near)
+                found.append(np.c_[rep[i], rep[j]])
+            if found:
+                yield pd.DataFrame(np.concatenate(found), columns=["a", "b"])
+
+    member = F.struct("rep", "root", "n", "sketch")  # at most ``part`` in a list
+    lists = small.join(rows, "rep").groupBy("key").agg(F.collect_list(member).alias("members"))
+    pairs = lists.select("members").mapInPandas(meet, "a long, b long")
+    if alike is not None:
+        least = alike.groupBy("key").agg(F.min("rep").alias("b"))
+        pairs = pairs.unionByName(alike.join(least, "key").where("rep > b").select(F.col("rep").alias("a"), "b"))
+    return pairs.distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, size: int = SIZE) -> DataFrame:
-    """``a, b, similarity`` of the pairs that the alignment confirms. ``docs``: ``rep, text``."""
+    """``a, b, similarity`` of the pairs that the alignment confirms. ``docs``: ``rep, text``, equal texts for equal reps."""
     # the ids grow with the corpus, so they are never broadcast, however small a table may be
     ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().hint("merge")
     texts = kept(docs.join(ids, "rep", "left_semi").dropDuplicates(["rep"]), "near-texts")
@@ -200,35 +227,37 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
 
     Rows whose text is null or has no word are in no class with others: ``class_id`` is their own
     doc_id. Rows without a doc_id have neither a class nor an influence on others, unless a copy of
-    their text has an id. Rows that share a doc_id are one document for the classes. An empty table
-    gives an empty result; other columns are not read.
+    their text has an id. Rows that share a doc_id are one document for the classes; each of their texts
+    is compared. An empty table gives an empty result; other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = kept(sketched(docs, size=size), "sketches")
+    # a distinct text is known by a code of its hash, not by an id, which several texts may share
     known = rows.where("n > 0").groupBy("h").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
+        F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
     )
-    known = kept(known, "representatives")
-    reps = known.where("rep IS NOT NULL").select("rep", "n", "sketch").dropDuplicates(["rep"])
+    known = kept(known.withColumn("rep", F.xxhash64("h")), "representatives")
+    reps = known.where("id IS NOT NULL").select("rep", "n", "sketch")
     pairs = kept(candidates(reps, similarity=similarity), "candidates")
-    by_id = docs.select(F.col("doc_id").alias("rep"), "text").where("rep IS NOT NULL")
+    by_id = docs.where("doc_id IS NOT NULL").select(F.xxhash64(F.md5("text")).alias("rep"), "text")
     links = kept(verified(pairs, by_id, similarity, size).select("a", "b"), "links")
     more = kept(unlinked(reps, components(links, "first-classes"), similarity=similarity), "unlinked")
     links = links.unionByName(verified(more, by_id, similarity, size).select("a", "b"))
     # a doc_id that stands for several texts ties them together
-    same_id = rows.where("n > 0").join(known.select("h", "rep"), "h").where("doc_id != rep").select(
-        F.col("doc_id").alias("a"), F.col("rep").alias("b")
-    )
     several = rows.where("n > 0").groupBy("doc_id").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x != y")
-    tied = same_id.join(several.select(F.col("doc_id").alias("a")), "a", "left_semi")
+    tied = rows.where("n > 0").join(several, "doc_id").select(F.xxhash64("h").alias("a"), F.xxhash64("x").alias("b"))
     roots = components(links.unionByName(tied), "classes")
+    texts = known.join(roots, F.col("rep") == F.col("node"), "left").select(
+        "h", "id", "copies", F.coalesce("root", "rep").alias("root")
+    )
+    texts = kept(texts, "texts")
+    classes = texts.groupBy("root").agg(F.min("id").alias("least"))
     return (
         rows.select("doc_id", "h", "n")
-        .join(known.select("h", "rep", "copies"), "h", "left")
-        .join(roots, F.col("rep") == F.col("node"), "left")
+        .join(texts.join(classes, "root").select("h", "least", "copies"), "h", "left")
         .select(
             "doc_id",
-            F.when(F.col("n") > 0, F.coalesce("root", "rep")).otherwise(F.col("doc_id")).alias("class_id"),
+            F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("class_id"),
             F.coalesce("copies", F.lit(1)).alias("copies"),
         )
     )

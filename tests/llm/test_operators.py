@@ -1,7 +1,6 @@
 """The training-data operators against plain Python, on small tables made here."""
 
 import hashlib
-import itertools
 import random
 import zlib
 from collections import Counter
@@ -226,9 +225,45 @@ def test_near_duplicates_of_a_template(spark):
     assert len(set(root)) == 300 and got == dict(enumerate(root))
 
 
-def test_covering_keys():
-    keys = [set(k) for k in minhash.covering(4, 16)]
-    assert all(any(k <= set(four) for k in keys) for four in itertools.combinations(range(16), 4))
+def test_blocks_of_a_family(spark):
+    r = np.random.default_rng(4)
+    codes = np.where(r.random((900, minhash.SKETCHES)) < 0.7, 7, r.integers(100, 10**9, (900, minhash.SKETCHES)))
+    codes[:40] = codes[0]  # more than a block that no sketch divides
+    rows = [(k, k, [int(x) for x in codes[k]]) for k in range(900)] + [(1000 + k, 5, [1] * minhash.SKETCHES) for k in range(50)]
+    orders = minhash.sketch_orders(4)
+    small, alike = minhash.blocks(spark.createDataFrame(rows, "rep long, root long, sketch array<long>"), orders)
+    sets = [{x.rep for x in xs} for xs in by_key(small.collect()).values()]
+    assert sets and all(2 <= len(x) <= minhash.BLOCK and max(x) < 900 for x in sets)
+    assert {x.rep for x in alike.collect()} == set(range(40))
+    want = set()  # the same by plain recursion
+    for o in orders:
+        todo = [(list(range(900)), 0)]
+        while todo:
+            ids, depth = todo.pop()
+            if depth >= 2 and 2 <= len(ids) <= minhash.BLOCK:
+                want.add(frozenset(ids))
+            elif len(ids) > 1 and depth < len(o):
+                parts = {}
+                for k in ids:
+                    parts.setdefault(codes[k][o[depth]], []).append(k)
+                todo += [(p, depth + 1) for p in parts.values()]
+    assert set(map(frozenset, sets)) == want
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b, c = (prose(k, 120, 5000) for k in (1, 2, 3))
+    rows = [(5, a), (5, b), (7, a + " more"), (8, b + " more"), (9, c), (None, c), (None, prose(4, 50, 5000)), (3, None), (2, " ")]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id or -1, x.class_id or -1, x.copies) for x in found) == [
+        (-1, -1, 1), (-1, 9, 2), (2, 2, 1), (3, 3, 1), (5, 5, 1), (5, 5, 1), (7, 5, 1), (8, 5, 1), (9, 9, 2)
+    ]
+
+
+def by_key(rows):
+    out = {}
+    for x in rows:
+        out.setdefault(x.key, []).append(x)
+    return out
 
 
 def test_passages(spark):
