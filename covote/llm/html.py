@@ -17,9 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>", re.S
-)
+_START = r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)"
+# A tag goes to the first > outside of quotes, or if quotes do not close, to the first > of all. Nothing is tried twice.
+TOKEN = re.compile(_START + r"""(?:((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|([^>]*+)>)""", re.S)
+UNQUOTED = re.compile(_START + r"()([^>]*+)>", re.S)
+BROKEN = 8  # tags with open quotes, each of which is a look at the rest of the page; beyond that quotes mean nothing in a page
 ATTRIBUTE = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 NAME_PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
@@ -148,19 +150,28 @@ def blocks(page: str) -> list[Block]:
             )
         parts, linked = [], 0
 
-    at, end = 0, len(page)
+    # behind the last > no tag ends, and a comment or declaration goes on to the end
+    last = page.rfind(">") + 1
+    at, end = 0, min((k for k in (page.find("<!", last), page.find("<?", last)) if k >= 0), default=len(page))
+    token, broken = TOKEN, 0
     while at < end:
-        m = TOKEN.search(page, at)
+        m = token.search(page, at, last) if at < last else None
         if m is None:
-            text(page[at:])
+            text(page[at:end])
             break
         text(page[at : m.start()])
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                break
             continue
-        closing = bool(m[1])
-        if name in RAW and not closing and not m[4]:
+        if m[4] is not None and token is TOKEN:
+            broken += 1
+            token = UNQUOTED if broken >= BROKEN else TOKEN
+        closing, attributes = bool(m[1]), m[3] or m[4] or ""
+        alone = attributes.endswith("/")
+        if name in RAW and not closing and not alone:
             over = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
             at = over.end() if over else end
             continue
@@ -179,8 +190,8 @@ def blocks(page: str) -> list[Block]:
                     if stack[k][0] == name:
                         del stack[k:]
                         break
-            elif not m[4]:
-                names = _names(m[3]) if m[3] else set()
+            elif not alone:
+                names = _names(attributes) if m[3] else set()
                 inside = any(c[1] for c in stack)
                 chrome = name in CHROME or name in SILENT or (name == "header" and not inside)
                 chrome = chrome or (name != "body" and not names.isdisjoint(CHROME_NAMES) and not (name in MAIN and not inside))

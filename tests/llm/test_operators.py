@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -149,6 +150,18 @@ def test_rules_counts_and_outliers(spark):
     assert not rows[200].kept and not rows[202].kept and not rows[203].kept
 
 
+def test_broken_markup_is_read_once():
+    for page in ("<a " * 300_000, "<p " + "a='b' " * 150_000, "<a '\">x" * 120_000, '<a title="x>y' * 80_000, "<!-" * 300_000):
+        before = time.perf_counter()
+        html.blocks(page)
+        html.blocks("<p>one two</p>" + page)
+        assert time.perf_counter() - before < 10
+    words = lambda page: [b.text for b in html.blocks(page)]
+    assert words("<p title='a>b'>one</p><p title=\"it's>two</p><br/>three<!-- four > five") == ["one", "two", "three"]
+    assert words("<p>one > two <!-- three") == ["one > two"] and words("no tag <? x") == ["no tag"] and words("") == []
+    assert words("<div data-x='<p>no</p>'>one</div><div/>two < three") == ["one", "two < three"]
+
+
 def test_html(spark):
     page = (
         "<html><head><title>t</title><script>if (a<b) {'</p>'}</script></head><body><header><a href='/'>Home</a></header><nav><ul>"
