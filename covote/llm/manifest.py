@@ -168,11 +168,9 @@ def _lower(proofs: bool):
         for doc_id, i, leaf, found in zip(leaves["doc_id"], leaves["i"], leaves["digest"], leaves["found"], strict=True):
             path = steps(i)
             sides = "".join([a + b for a, b in path])
-            folded = row["root"]
-            if found is not None and found != leaf:
-                folded = found
-                for left, right in [*path, *up]:
-                    folded = _sha(left + folded + right)
+            folded = leaf if found is None else found
+            for left, right in [*path, *up]:
+                folded = _sha(left + folded + right)
             one = (doc_id, leaf, subroot, row["root"], _sha(sides + rest), folded, folded == row["root"])
             out.append((*one, [{"left": a, "right": b} for a, b in [*path, *up]]) if proofs else one)
         return pd.DataFrame(out, columns=NAMES + ["proof"] * proofs).astype({"doc_id": "Int64"})

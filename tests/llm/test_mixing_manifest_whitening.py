@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,6 +195,18 @@ def test_manifest_without_changes_verifies(spark):
     assert all(x.verified for x in manifest.verified(docs(spark, AWKWARD)).collect())
 
 
+def test_rows_as_they_were_are_folded_too():
+    leaves = pd.DataFrame({"doc_id": [1, 2], "i": [0, 1], "digest": [sha("a"), sha("b")], "found": [None, None]})
+    root = sha(sha("a") + sha("b"))
+
+    def steps(i):
+        return [("", sha("b"))] if i == 0 else [("", sha("x"))]  # the second proof is not that of its leaf
+
+    out = manifest._lower(False)(leaves, steps, root, {"root": root, "path": None})
+    assert list(out["folded_root"]) == [root, sha(sha("b") + sha("x"))]
+    assert list(out["verified"]) == [True, False]
+
+
 # whitening
 
 
