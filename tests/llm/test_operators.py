@@ -305,6 +305,18 @@ def test_passages_with_words_put_in_or_left_out(spark):
     assert all(0.8 <= r.similarity < 1 for r in found)
 
 
+def test_passages_around_a_common_line(spark):
+    """Pairs of exact passages, all around a line that stands earlier, and more pairs than meet at once."""
+    line, texts = prose(1, 40, 5000), []
+    texts.append(prose(2, 60, 5000) + " " + line + " " + prose(3, 60, 5000))
+    for k in range(60):
+        shared = prose(1000 + k, 10, 5000) + " " + line + " " + prose(2000 + k, 10, 5000)
+        texts += [prose(3000 + 2 * k + j, 70, 5000) + " " + shared + " " + prose(4000 + 2 * k + j, 70, 5000) for j in (0, 1)]
+    found = passages.repeated(docs(spark, texts)).collect()  # a word beside a passage may be the same by chance
+    found = {(r.doc_id, r.src) for r in found if r.start <= 70 and r.start + r.n_words >= 130}
+    assert {(2 * k + 2, 2 * k + 1) for k in range(60)} <= found
+
+
 def test_compact_windows_cover_every_stretch():
     r = np.random.default_rng(2)
     for h in (r.integers(0, 50, 60).astype(np.uint64), np.zeros(200, np.uint64)):
@@ -314,6 +326,11 @@ def test_compact_windows_cover_every_stretch():
                 assert any(lo <= i <= c <= j <= hi and h[c] == h[i : j + 1].min() for lo, c, hi in found)
 
 
+def test_centres_are_those_of_compact_windows():
+    h = np.random.default_rng(3).permutation(500).astype(np.uint64)
+    assert passages.centres(h, 20).tolist() == sorted(c for _, c, _ in passages.compact_windows(h, 20))
+
+
 def test_surrogates(spark):
     texts = [
         "Call +1 (017) 555-7713 or 1-017-555-7713, mail Bo.34@mail7.example.com.",
