@@ -132,6 +132,20 @@ def test_bit_predictions_are_a_distribution():
     assert mixer.log10([b"w12"])[0] > mixer.log10([b"zqk"])[0] + 2
 
 
+def test_bit_predictions_learn_from_every_word(spark):
+    """Weights and map are the mean of what each partition learns from all its words."""
+    words = spark.range(0, 3000, 1, 3).selectExpr("CAST(concat('w', id * 7919) AS BINARY) AS w")
+    got, parts = lmscore.trained(words), words.rdd.glom().collect()
+    each = []
+    for some in parts:
+        each.append(lmscore.Mixer(got.table))
+        each[-1].learn([bytes(r.w) for r in some], passes=1)
+    for name in ("weights", "map"):
+        mean = np.average([getattr(m, name) for m in each], axis=0, weights=[len(p) for p in parts])
+        assert np.allclose(getattr(got, name), mean, atol=1e-5)
+        assert not np.allclose(mean, getattr(lmscore.Mixer(got.table), name), atol=1e-3)
+
+
 def test_rules_counts_and_outliers(spark):
     texts = [prose(k, 120) for k in range(200)] + [prose(900, 100).replace(" ", "### "), "x y z w\nx y z w\n" + prose(901, 70), AWKWARD[8], None]
     rows = {r.doc_id: r for r in rules.judged(docs(spark, texts)).collect()}
