@@ -12,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from covote.llm import ann, bpe, html, lmscore, minhash, packing, passages, pii, rules, toxicity
-from covote.llm.common import WordCodes, components
+from covote.llm.common import WordCodes, components, mix, seeds, shingles
+from covote.llm.minhash import coded
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, rank string, key string"
@@ -408,3 +409,36 @@ def test_pii_without_digits_and_with_few_letters(spark):
     assert secret not in rows[0].text and rows[1].text == f"{rows[0].text} 1"
     addresses = {rows[5 + k].text for k in range(len(odd))}
     assert len(addresses) == len(odd) and not addresses & set(odd)
+
+
+def test_passages_around_a_line_that_a_text_repeats(spark):
+    r, salt, run = np.random.default_rng(1), seeds(1, 7)[0], passages.least_run(46)
+
+    def words(n):
+        return [f"w{x}" for x in r.integers(0, 10**6, n)]
+
+    def signatures(some):
+        found = shingles(coded(" ".join(some), WordCodes()), passages.SIZE)
+        return set(found[passages.centres(mix(found ^ salt), run)].tolist())
+
+    line = words(30)
+    own = set(shingles(coded(" ".join(line), WordCodes()), passages.SIZE).tolist())
+    while True:  # until only signatures of the line bring the two together
+        passage = [*words(12), *line, *words(12)]
+        two = [[*words(28), *passage, *words(28)] for _ in range(2)]
+        if signatures(two[0]) & signatures(two[1]) <= own:
+            break
+    places = [[*words(r.integers(40, 200)), *line, *words(r.integers(40, 200))] for _ in range(44)]
+    places[20], places[38] = two  # neither the first place of the line nor the nearest
+    at = np.cumsum([0, *map(len, places)])
+    found = passages.repeated(docs(spark, [" ".join(sum(places, []))])).collect()
+    assert [(x.src, x.start, x.n_words, x.src_start) for x in found] == [(0, at[38] + 28, 54, at[20] + 28)]
+
+
+def test_own_pairs():
+    at, kind = np.arange(40) * 50, np.arange(40) % 3
+    got = set(map(tuple, passages.own_pairs(at, kind, 46).tolist()))
+    # all of up to 16, later the first and the nearest of each kind
+    assert {(800, 50 * k) for k in range(16)} <= got and {y for x, y in got if x == 1950} == {0, 50, 100, 1800, 1850, 1900}
+    some = np.array([(900, 100), (950, 150), (1000, 200), (1000, 100)])
+    assert passages.ends_of_shifts(some).tolist() == [[900, 100], [1000, 200], [1000, 100]]
