@@ -442,3 +442,28 @@ def test_own_pairs():
     assert {(800, 50 * k) for k in range(16)} <= got and {y for x, y in got if x == 1950} == {0, 50, 100, 1800, 1850, 1900}
     some = np.array([(900, 100), (950, 150), (1000, 200), (1000, 100)])
     assert passages.ends_of_shifts(some).tolist() == [[900, 100], [1000, 200], [1000, 100]]
+
+
+def test_near_duplicates_in_a_family_are_found_exactly(spark):
+    r = random.Random(12)
+    template = [f"t{k}" for k in range(200)]
+    texts = []
+    for k in range(260):
+        own = [w if r.random() < 0.96 else f"o{k}x{i}" for i, w in enumerate(template)]
+        texts.append(own)
+    for k in range(0, 60, 2):  # just above the limit
+        texts.append([w if r.random() < 0.978 else f"p{k}x{i}" for i, w in enumerate(texts[k])])
+    found = [minhash.labelled(" ".join(t), WordCodes()) for t in texts]
+    want = {(a, b) for a in range(len(texts)) for b in range(a) if minhash.aligned(found[a], found[b]) >= minhash.SIMILARITY}
+    rows = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "rep long, text string")
+    none = spark.createDataFrame([], "a long, b long")
+    links = minhash.family_links(rows, rows.select("rep", F.col("rep").alias("root")), none, part=4)
+    root, want_root = (dict(enumerate(range(len(texts)))) for _ in range(2))
+    for got, pairs in ((root, [(x.a, x.b) for df in links for x in df.collect()]), (want_root, sorted(want))):
+        assert pairs and {(max(p), min(p)) for p in pairs} <= want
+        for a, b in pairs:
+            low, high = sorted((got[a], got[b]))
+            got.update({k: low for k, x in got.items() if x == high})
+    assert root == want_root
+    classes = minhash.near_duplicates(rows.withColumnRenamed("rep", "doc_id")).collect()
+    assert {x.doc_id: x.class_id for x in classes} == want_root
