@@ -467,3 +467,22 @@ def test_near_duplicates_in_a_family_are_found_exactly(spark):
     assert root == want_root
     classes = minhash.near_duplicates(rows.withColumnRenamed("rep", "doc_id")).collect()
     assert {x.doc_id: x.class_id for x in classes} == want_root
+
+
+def test_a_family_that_is_not_alike_enough_makes_few_pairs(spark, monkeypatch):
+    """Copies of a text with one other word each: of 45,150 pairs that share rare shingles those alike are aligned, and few others."""
+    template = [f"t{k}" for k in range(60)]
+    texts = [[f"o{k}" if i == k % 60 else w for i, w in enumerate(template)] for k in range(300)] + [template[:-1]]
+    found = [minhash.labelled(" ".join(t), WordCodes()) for t in texts]
+    want = {(a, b) for a in range(len(texts)) for b in range(a) if minhash.aligned(found[a], found[b]) >= minhash.SIMILARITY}
+    met, old = [], minhash.verified
+    monkeypatch.setattr(minhash, "verified", lambda pairs, *args: met.append(pairs.count()) or old(pairs, *args))
+    rows = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "rep long, text string")
+    links = minhash.family_links(rows, rows.select("rep", F.col("rep").alias("root")), spark.createDataFrame([], "a long, b long"), part=400)
+    got = {(max(x.a, x.b), min(x.a, x.b)) for df in links for x in df.collect()}
+    assert got == want and len(want) < 12_000
+    assert sum(met) < 1.2 * len(want)
+    odd = [np.array(x[1:]) for x in minhash.parities(rows).orderBy("rep").collect()]
+    for a, b in ((0, 1), (0, 60), (7, 300)):
+        bits = np.unpackbits((odd[a] ^ odd[b]).view(np.uint8)).sum()
+        assert 0 < bits <= len(np.setxor1d(found[a], found[b]))
