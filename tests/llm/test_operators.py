@@ -486,3 +486,33 @@ def test_a_family_that_is_not_alike_enough_makes_few_pairs(spark, monkeypatch):
     for a, b in ((0, 1), (0, 60), (7, 300)):
         bits = np.unpackbits((odd[a] ^ odd[b]).view(np.uint8)).sum()
         assert 0 < bits <= len(np.setxor1d(found[a], found[b]))
+
+
+def test_passages_in_runs_of_a_word(spark):
+    """Runs of a word have two places each, whatever their length; those as long as a passage are found, and within a text too."""
+    def run(n):
+        return " the" * n
+
+    texts = [prose(k, 60, 5000) + run(30 + 40 * k) + " " + prose(50 + k, 60, 5000) for k in range(3)]
+    texts += [prose(9, 20, 5000) + " x" + run(40) + " y", prose(9, 20, 5000) + " z" + run(40) + " v"]
+    texts.append(prose(8, 80, 5000) + " od" * 120)
+    listed = passages.windows(docs(spark, texts)).where("own < 0").groupBy("doc_id", "v").count().agg(F.max("count")).first()[0]
+    assert listed <= 2
+    found = {(r.doc_id, r.src, r.start, r.n_words) for r in passages.repeated(docs(spark, texts)).collect()}
+    assert {(2, 1, 60, 70), (2, 1, 100, 70), (5, 5, 126, 74)} <= found
+    assert any(d == 4 and s == 3 and n >= 60 for d, s, _, n in found)
+
+
+def test_stretches_cover_all_that_are_alike():
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        same = np.repeat(r.random(60) < 0.6, r.integers(1, 30, 60))
+        found, count = np.zeros(len(same), bool), np.r_[0, np.cumsum(same)]
+        for a, b, s in passages.stretches(same, 46, 0.8):
+            m = count[b] - count[a]
+            assert b - a >= 46 and m >= 1.6 / 1.8 * (b - a) - 1e-6 and s == pytest.approx(m / (2 * (b - a) - m))
+            found[a:b] = True
+        for a in np.flatnonzero(same & ~found):
+            ends = np.flatnonzero(np.r_[same, False] & ~np.r_[same[1:], False, False]) + 1
+            ends = ends[ends >= a + 46]
+            assert not (count[ends] - count[a] >= 1.6 / 1.8 * (ends - a) + 1e-6).any()
