@@ -147,6 +147,28 @@ def test_bit_predictions_learn_from_every_word(spark):
         assert not np.allclose(mean, getattr(lmscore.Mixer(got.table), name), atol=1e-3)
 
 
+def test_bit_predictions_learn_in_two_passes(spark, monkeypatch):
+    """The second pass goes on with the mean of the first, at its own rate, and the scores have both."""
+    words = spark.range(0, 3000, 1, 3).selectExpr("CAST(concat('w', id * 7919) AS BINARY) AS w")
+    got, parts = lmscore.trained(words, 2), words.rdd.glom().collect()
+    mean = lmscore.Mixer(got.table)
+    for done in range(2):
+        each = []
+        for some in parts:
+            each.append(lmscore.Mixer(got.table))
+            each[-1].weights, each[-1].map = mean.weights.copy(), mean.map.copy()
+            each[-1].learn([bytes(r.w) for r in some], passes=1, first=done)
+        sizes = [len(p) for p in parts]
+        mean.weights, mean.map = (
+            np.average([getattr(m, x) for m in each], axis=0, weights=sizes).astype(np.float32) for x in ("weights", "map")
+        )
+    assert np.allclose(got.weights, mean.weights, atol=1e-5) and np.allclose(got.map, mean.map, atol=1e-5)
+    made, asked = lmscore.trained, []
+    monkeypatch.setattr(lmscore, "trained", lambda w, passes=1: asked.append(passes) or made(w, passes))
+    assert lmscore.scored(docs(spark, ["one two three", "two zqk"]), F.col("doc_id") == 0).count() == 2
+    assert asked == [2]
+
+
 def test_rules_counts_and_outliers(spark):
     texts = [prose(k, 120) for k in range(200)] + [prose(900, 100).replace(" ", "### "), "x y z w\nx y z w\n" + prose(901, 70), AWKWARD[8], None]
     rows = {r.doc_id: r for r in rules.judged(docs(spark, texts)).collect()}
