@@ -76,6 +76,30 @@ def test_lists_are_those_of_plain_python_and_of_the_index(spark, ties):
     assert rows(covote.user_neighbours(df, 3, ties=ties, targets=some)) == wanted
 
 
+def test_matrix_with_text_and_targets(spark):
+    (df,) = frames(spark, 1)
+    text = df.selectExpr("user", "concat('x', item) AS item")
+    expected = sorted(((b, sim, a) for (a, b), sim in similarities(pairs(1)).items()), key=repr)
+    assert rows(covote.similarity(df, "user", "item")) == rows(covote.similarity(text, "user", "item")) == expected
+
+
+@pytest.mark.parametrize("count", [1, 2, 3])
+def test_several_features_are_those_of_the_joins(spark, count):
+    features = frames(spark, count)
+    sims, joined = covote.feature_similarity(features), covote.feature_similarity(features, skew=JOINS)
+    assert compact.packed_of(sims) is not None and compact.packed_of(joined) is None
+    assert sims.columns == joined.columns and rows(sims) == rows(joined)
+    assert rows(covote.most_similar(sims, 2)) == rows(covote.most_similar(joined, 2))
+    for missing in ("shared", "zero"):
+        for n in (1, 4):
+            kept, wanted = (covote.pareto_neighbours(x, n, missing=missing) for x in (sims, joined))
+            assert rows(kept) == rows(wanted)
+        assert rows(covote.dominated(sims, missing=missing)) == rows(covote.dominated(joined, missing=missing))
+        if count < 3:
+            by, wanted = (covote.dominance_witnesses(x, missing=missing) for x in (sims, joined))
+            assert rows(by) == rows(wanted)
+
+
 def test_whole_groups_and_single_members():
     import pyarrow as pa
 
