@@ -26,6 +26,7 @@ from covote.operators.skew import Skew, most_rows
 
 ROWS = 50_000  # interactions packed at a time
 BYTES = 1 << 21  # of packed lists that are unpacked or passed on at a time
+STRONG = 16  # candidates by which others are put aside, besides the n looked for
 COARSE = 20  # bits of a similarity by which all but the best are put aside
 
 
@@ -295,7 +296,16 @@ def best_by_feature(n: int) -> Kernel:
 
 
 def thin(n: int, zero: bool) -> Kernel:
-    """``src, dst, f0, …`` without candidates with n better ones that differ from them in one feature only, see ``pareto._thin``."""
+    """``src, dst, f0, …`` without candidates with n better ones that differ from them in one feature only, see ``pareto._thin``.
+
+    Where an absent feature is zero, also without those that n of the strongest dominate: they are never reached, and
+    whatever they dominate these n dominate too.
+    """
+
+    def behind(values: np.ndarray) -> np.ndarray:
+        strongest = values[:, np.argsort(-values.sum(axis=0), kind="stable")[: n + STRONG]]
+        pairs = strongest[:, :, None], values[:, None, :]
+        return ((pairs[0] >= pairs[1]).all(axis=0) & (pairs[0] > pairs[1]).any(axis=0)).sum(axis=0) >= n
 
     def kernel(m: Met) -> list[pa.Array]:
         absent = 0.0 if zero else -1.0  # below every cosine
@@ -314,6 +324,13 @@ def thin(n: int, zero: bool) -> Kernel:
             new = reduce(np.logical_or, [x[order][1:] != x[order][:-1] for x in (s, null, *others)])
             keep = np.sort(order[ranks(np.r_[True, new][: len(s)], v, True) <= n])
             s, dst, values = s[keep], dst[keep], values[:, keep]
+        if zero:
+            left = np.ones(len(s), bool)
+            cuts = np.r_[np.flatnonzero(np.r_[True, s[1:] != s[:-1]][: len(s)]), len(s)].tolist()
+            for a, b in zip(cuts, cuts[1:]):
+                if b - a > n:
+                    left[a:b] = ~behind(values[:, a:b])
+            s, dst, values = s[left], dst[left], values[:, left]
         return [pa.array(m.src[s]), pa.array(dst), *(_values(row if zero else np.where(row == absent, np.nan, row)) for row in values)]
 
     return kernel

@@ -49,7 +49,9 @@ def pareto_neighbours(
             return _rounds(thin, n, lambda left: dominance_witnesses(left).select("src", "dst"))
         return _two_features(thin, n)
     # of equal vectors all are left, so that none is missed when those reached are looked up
-    return _many_features(points if lists is None else stored(thin, "candidates"), names, n, skew, lists is None)
+    if lists is None:
+        return _many_features(points, names, n, skew)
+    return _many_features(stored(thin, "candidates"), names, n, skew, thick=False, pruned=missing == "zero")
 
 
 def pareto_front(sims: DataFrame, *, missing: str = "shared", skew: Skew = DEFAULT_SKEW) -> DataFrame:
@@ -284,13 +286,14 @@ def _dominated_by_slices(names: list[str], skew: Skew):
     return dominated_of
 
 
-def _many_features(points: DataFrame, names: list[str], n: int, skew: Skew, thick: bool = True) -> DataFrame:
+def _many_features(points: DataFrame, names: list[str], n: int, skew: Skew, thick: bool = True, pruned: bool = False) -> DataFrame:
     """Three features and more, in pandas on groups that Spark keeps small.
 
     The groups are distinct vectors, so that ties of any number are one row. First come
     slices of at most ``skew.block`` vectors, to drop those with n better ones; then what is
     left of each ``src``, if this is no more than such a slice for any, and otherwise slices
-    against slices, front by front.
+    against slices, front by front. Points that are not ``thick`` have been thinned before, and of those
+    ``pruned`` most with n better ones are gone.
     """
     absent = F.lit(-1.0)  # below every cosine, and unlike NULL it can be grouped and joined on
     filled = [F.coalesce(F.col(c), absent).alias(c) for c in names]
@@ -322,7 +325,8 @@ def _many_features(points: DataFrame, names: list[str], n: int, skew: Skew, thic
             chosen += int(size[front].sum())
         return pdf[["src", *names]].assign(layer=layer)[layer > 0]
 
-    reached = stored(sliced.groupBy("src", "has", "slice").applyInPandas(reachable, sliced.schema), "reachable")
+    reached = vectors if pruned else sliced.groupBy("src", "has", "slice").applyInPandas(reachable, sliced.schema)
+    reached = stored(reached, "reachable")
     if most_rows(reached, "src") > skew.block:
         left = points.select("src", "dst", *filled).join(reached.select("src", *names), ["src", *names], "left_semi")
         return _rounds(stored(left, "candidates"), n, _dominated_by_slices(names, skew))
