@@ -169,6 +169,19 @@ def test_bit_predictions_learn_in_two_passes(spark, monkeypatch):
     assert asked == [2]
 
 
+def test_open_stretches_meet_the_passages_of_their_text_once(spark):
+    spans, width, need = [(0, 60), (200, 55)], 46, 40
+    found = spark.createDataFrame([(1, 5, *x) for x in spans] + [(2, 6, 0, 90)], "doc_id long, of_text long, start int, n_words int")
+    (one,) = passages.passages_of(found).where("doc_id = 1").collect()
+    assert sorted(map(tuple, passages.span_rows(np.array(one.done)).tolist())) == spans
+    whole = (1 << width) - 1
+    rows = [(k, 1, 5, c, whole, 20) for k, c in enumerate((10, 55, 80, 190, 230, 500))] + [(9, 3, 7, 10, whole, 20), (10, 2, 6, 45, whole, 20)]
+    still = spark.createDataFrame(rows, "k long, doc_id long, of_text long, c int, mask long, m long")
+    expected = {r[0]: passages.uncovered(r[3], {1: spans, 2: [(0, 90)], 3: []}[r[1]], width, need) for r in rows}
+    got = {r.k: r.mask for r in passages.closed(still, found, 50, 0.8).collect()}
+    assert got == {k: m for k, m in expected.items() if m} and 0 < len(got) < len(rows)
+
+
 def test_rules_counts_and_outliers(spark):
     texts = [prose(k, 120) for k in range(200)] + [prose(900, 100).replace(" ", "### "), "x y z w\nx y z w\n" + prose(901, 70), AWKWARD[8], None]
     rows = {r.doc_id: r for r in rules.judged(docs(spark, texts)).collect()}
